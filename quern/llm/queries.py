@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, huffman_ids, quality_rules, token_counts, toxicity
+from . import byte_bpe, huffman_ids, near_dedup, quality_rules, token_counts, toxicity
 from .base import table
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode_documents(table(spark, sf_dir, "documents")))
 

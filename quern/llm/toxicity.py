@@ -33,6 +33,7 @@ MAX_LABELLED, MAX_UNLABELLED = 6000, 6000
 THRESHOLD = 0.7
 #: A feature is used if so many toxic texts, and such a share of them, have it, LIFT times the unlabelled ones' share.
 MIN_TEXTS, MIN_SHARE, LIFT = 4, 0.03, 3.0
+BROAD_LIFT, BROAD_SAY = 2.0, 0.25
 #: Letters, digits and everything beyond ASCII make a word.
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -76,9 +77,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def train(positive: list[bytes], unlabelled: list[bytes], prior: float, steps: int = 300, rate: float = 0.03, decay: float = 1e-3) -> Model:
+def train(positive: list[bytes], unlabelled: list[bytes], prior: float) -> Model:
+    """Two classifiers in one: of the words that mark toxic texts in general, and with a smaller say of all that are
+    likelier in them, which also know near copies of what was seen."""
+    narrow = train_once(positive, unlabelled, prior, MIN_SHARE, LIFT)
+    broad = train_once(positive, unlabelled, prior, 0.0, BROAD_LIFT)
+    return Model(narrow.weights + BROAD_SAY * broad.weights, narrow.bias + BROAD_SAY * broad.bias)
+
+
+def train_once(positive: list[bytes], unlabelled: list[bytes], prior: float, share: float, lift: float, steps: int = 300, rate: float = 0.03, decay: float = 1e-3) -> Model:
     """Full-batch Adam on the non-negative risk with the logistic loss. Features that few toxic texts have, or that
-    are not LIFT times as frequent in them as in unlabelled ones, keep the weight 0: most words of a text are rare,
+    are not lift times as frequent in them as in unlabelled ones, keep the weight 0: most words of a text are rare,
     and would be learnt by heart."""
 
     def rows(texts: list[bytes]):
@@ -86,7 +95,7 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float, steps: i
 
     p, u = rows(positive), rows(unlabelled)
     in_p, in_u = np.bincount(p[0], minlength=WIDTH), np.bincount(u[0], minlength=WIDTH)
-    useful = (in_p >= max(MIN_TEXTS, MIN_SHARE * len(positive))) & (in_p * max(1, len(unlabelled)) >= LIFT * in_u * len(positive))
+    useful = (in_p >= max(MIN_TEXTS, share * len(positive))) & (in_p * max(1, len(unlabelled)) >= lift * in_u * len(positive))
     useful = np.append(useful, True)
     w, b = np.zeros(WIDTH), 0.0
     first, second = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
