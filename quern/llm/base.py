@@ -10,12 +10,12 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes on; a longer single document is a pass of its own.
@@ -186,3 +186,9 @@ def per_row(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 def docs_only(df: DataFrame, *columns: str) -> DataFrame:
     """The columns an operator reads, under their own names whatever else the table has; null texts are empty."""
     return df.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) if c == "text" else F.col(c) for c in columns))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once for a row: an optimizer that merges projections would put its expression
+    into every lambda that uses it, to be evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
