@@ -7,7 +7,7 @@ table look-up for each id.
 
 The container of the blocks is Parquet: it is written and committed by Spark on any store, and a lost executor's
 files are written anew. Columns of a block: part, block, doc_ids (int64), sizes (uint32, ids of each document), bits (payload),
-marks (uint64, bit offsets), start (ids of all blocks before). The code lengths are stored beside them, once.
+marks (uint64, bit offsets), before (ids of the part's blocks before). The code lengths are stored beside them, once.
 
 Tokenising follows the words: a text's ids are the ids of its white-space-separated words one after another,
 since the tokenizer's normaliser and splitter never act across ASCII white space. So each distinct word of a batch
@@ -23,11 +23,12 @@ import os
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -45,24 +46,53 @@ def tokenizer(path: str) -> Tokenizer:
     return t
 
 
+class Words:
+    """The ids of the words seen by this Python worker, by the words' hashes; forgotten when there are too many."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def look_up(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: bytes, path: str) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of ids of each word; hashes are distinct and sorted."""
+        if len(self.hashes) > self.most:
+            self.forget()
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != hashes[inside]
+        got = tokenizer(path).encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist())], add_special_tokens=False)
+        pieces = [e.ids for e in got]
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        flat = np.fromiter(chain.from_iterable(pieces), np.uint32, int(size.sum()))
+        first = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, flat])
+        self.hashes, self.at, self.size = (np.insert(x, at[new], y) for x, y in ((self.hashes, hashes[new]), (self.at, first), (self.size, size)))
+        at = np.searchsorted(self.hashes, hashes)
+        return self.at[at], self.size[at]
+
+
+_words: dict[str, Words] = {}
+
+
 def encode_rows(data: np.ndarray, at: np.ndarray, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows, each closed with `end`, and the rows' offsets among them."""
     starts, ends, words_at = words_of(data, at)
-    _, first, which = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    got = tokenizer(path).encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[first].tolist(), ends[first].tolist())], add_special_tokens=False)
-    pieces = [e.ids for e in got]
-    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    flat = np.fromiter((i for p in pieces for i in p), np.uint32, int(size.sum()))
-    piece_at = np.concatenate([[0], np.cumsum(size)])
+    hashes, first, which = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    words = _words.setdefault(path, Words())
+    place, size = words.look_up(hashes, starts[first], ends[first], data.tobytes(), path)
     n = size[which]
     out_at = np.concatenate([[0], np.cumsum(n)])
-    take = np.repeat(piece_at[which] - out_at[:-1], n) + np.arange(out_at[-1])
+    take = np.repeat(place[which] - out_at[:-1], n) + np.arange(out_at[-1])
     row_at = out_at[words_at] + np.arange(len(at))  # an end id after each row
     out = np.full(row_at[-1], end, np.uint32)
     body = np.ones(len(out), bool)
     body[row_at[1:] - 1] = False
-    out[body] = flat[take]
+    out[body] = words.ids[take]
     return out, row_at
 
 
@@ -156,26 +186,32 @@ def unpack(payload: bytes, marks: np.ndarray, n: int, by: tuple[np.ndarray, np.n
     return out.reshape(-1)[:n]
 
 
-def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """doc_id, ids (uint16 or uint32 little-endian) of every document."""
+def id_type(path: str, end: int) -> str:
+    """What holds every id: 16 bits where the vocabulary allows."""
+    return "<u2" if max(tokenizer(path).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, path: str, end: int, kind: str) -> DataFrame:
+    """doc_id, ids of every document."""
+    width = np.dtype(kind).itemsize
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             ids, at = encode_rows(*text_of(batch.column("text")), path, end)
-            rows = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+            rows = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(ids.astype(kind))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), rows], ["doc_id", "ids"])
 
     return docs_only(docs, "doc_id", "text").mapInArrow(encode, "doc_id long, ids binary")
 
 
-def id_counts(coded: DataFrame) -> np.ndarray:
+def id_counts(coded: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs. Each task adds up its own; what reaches the driver is bounded by the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             data, _ = text_of(batch.column("ids"))
-            more = np.bincount(data.view("<u4"))
+            more = np.bincount(np.frombuffer(data, kind))
             if len(more) > len(total):
                 total, more = more, total
             total[: len(more)] += more
@@ -188,40 +224,42 @@ def id_counts(coded: DataFrame) -> np.ndarray:
     return out
 
 
-BLOCK = "part int, block int, n_docs int, n_ids long, doc_ids binary, doc_nulls binary, sizes binary, bits binary, marks binary"
+BLOCK = "part int, block int, n_docs int, n_ids long, before long, doc_ids binary, doc_nulls binary, sizes binary, bits binary, marks binary"
 
 
 def write_ids(docs: DataFrame, at: str, path: str | None = None, end: int = END) -> None:
     """Writes the ids of docs to the folder `at`: blocks/ and lengths/, in ascending doc_id order."""
     path = path or public_tokenizers.path(VOCABULARY)
     spark = tuned(docs.sparkSession)
-    coded = written(encoded(docs, path, end))
-    lengths = code_lengths(id_counts(coded))
+    kind = id_type(path, end)
+    width = np.dtype(kind).itemsize
+    coded = written(encoded(docs, path, end, kind))
+    lengths = code_lengths(id_counts(coded, kind))
     sent = spark.sparkContext.broadcast(lengths)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{at}/lengths")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, held, n_held, number, part = canonical(sent.value), [], 0, 0, None
+        codes, held, n_held, number, part, before = canonical(sent.value), [], 0, 0, None, 0
 
         def block() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks()
             data, offsets = text_of(whole.column("ids"))
-            ids = np.frombuffer(data, "<u4")
+            ids = np.frombuffer(data, kind)
             bits, marks = pack(ids, sent.value, codes)
             doc_ids = whole.column("doc_id").combine_chunks()
-            row = [part, number, len(doc_ids), len(ids), np.asarray(doc_ids.fill_null(0), "<i8").tobytes(), np.asarray(doc_ids.is_null()).tobytes(), (np.diff(offsets) // 4).astype("<u4").tobytes(), bits, marks.tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+            row = [part, number, len(doc_ids), len(ids), before, np.asarray(doc_ids.fill_null(0), "<i8").tobytes(), np.asarray(doc_ids.is_null()).tobytes(), (np.diff(offsets) // width).astype("<u4").tobytes(), bits, marks.tobytes()]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], [c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in batches:
-            for piece in slices([batch], "ids", BLOCK_IDS * 4):
+            for piece in slices([batch], "ids", BLOCK_IDS * width):
                 if piece.num_rows:
                     part = piece.column("part")[0].as_py()
                     held.append(piece)
-                    n_held += text_of(piece.column("ids"))[0].size // 4
+                    n_held += text_of(piece.column("ids"))[0].size // width
                 if n_held >= BLOCK_IDS:
                     yield block()
-                    held, n_held, number = [], 0, number + 1
+                    held, n_held, number, before = [], 0, number + 1, before + n_held
         if held:
             yield block()
 
@@ -239,10 +277,6 @@ def read_ids(spark: SparkSession, at: str) -> DataFrame:
     before = dict(zip([p for p, _ in parts], np.concatenate([[0], np.cumsum([n for _, n in parts])]).tolist()))
     lengths = np.frombuffer(spark.read.parquet(f"{at}/lengths").head()[0], np.uint8)
     sent = spark.sparkContext.broadcast((lengths, before))
-    own = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("own")
-    starts = blocks.select("part", "block", "n_ids").select("part", "block", own)
-    placed = blocks.join(starts, ["part", "block"])
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, before = sent.value
         by = decode_table(lengths)
@@ -253,9 +287,9 @@ def read_ids(spark: SparkSession, at: str) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
                 doc_ids = pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=np.frombuffer(row["doc_nulls"], bool))
                 rows = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(before[row["part"]] + row["own"] + offsets[:-1]), rows], ["doc_id", "start", "ids"])
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(before[row["part"]] + row["before"] + offsets[:-1]), rows], ["doc_id", "start", "ids"])
 
-    return placed.mapInArrow(read, "doc_id long, start long, ids binary")
+    return blocks.mapInArrow(read, "doc_id long, start long, ids binary")
 
 
 def digests(read: DataFrame) -> DataFrame:
