@@ -77,6 +77,12 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def joined(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of packed features as `features` gives them."""
+    at = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int64)
+    return np.frombuffer(b"".join(rows), "<i4"), at
+
+
 def train(positive: list[bytes], unlabelled: list[bytes], prior: float) -> Model:
     """Two classifiers in one: of the words that mark toxic texts in general, and with a smaller say of all that are
     likelier in them, which also know near copies of what was seen."""
@@ -89,11 +95,7 @@ def train_once(positive: list[bytes], unlabelled: list[bytes], prior: float, sha
     """Full-batch Adam on the non-negative risk with the logistic loss. Features that few toxic texts have, or that
     are not lift times as frequent in them as in unlabelled ones, keep the weight 0: most words of a text are rare,
     and would be learnt by heart."""
-
-    def rows(texts: list[bytes]):
-        return features(*text_of(pa.array(texts, pa.binary())))
-
-    p, u = rows(positive), rows(unlabelled)
+    p, u = joined(positive), joined(unlabelled)
     in_p, in_u = np.bincount(p[0], minlength=WIDTH), np.bincount(u[0], minlength=WIDTH)
     useful = (in_p >= max(MIN_TEXTS, share * len(positive))) & (in_p * max(1, len(unlabelled)) >= lift * in_u * len(positive))
     useful = np.append(useful, True)
@@ -121,9 +123,9 @@ def train_once(positive: list[bytes], unlabelled: list[bytes], prior: float, sha
     return Model(w, float(b))
 
 
-def calibrated(model: Model, texts: list[bytes], toxic: np.ndarray, threshold: float = THRESHOLD) -> Model:
+def calibrated(model: Model, rows: list[bytes], toxic: np.ndarray, threshold: float = THRESHOLD) -> Model:
     """The margin with the best F1 on the labelled rows becomes `threshold`; its spread becomes the scale."""
-    z = model.margins(*features(*text_of(pa.array(texts, pa.binary()))))
+    z = model.margins(*joined(rows))
     order = np.argsort(-z, kind="stable")
     hits = np.cumsum(toxic[order])
     f1 = 2 * hits / (np.arange(1, len(z) + 1) + max(1, toxic.sum()))
@@ -146,14 +148,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
         return None
     chosen = known.orderBy(seed, "doc_id").limit(max_labelled)
     texts = docs_only(docs, "doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out())
-    rows = texts.join(chosen, "doc_id").select("doc_id", "toxic", F.col("text").cast("binary").alias("text")).toPandas().sort_values("doc_id", kind="stable")
-    free = texts.select("doc_id").orderBy(seed, "doc_id").limit(max_unlabelled)
-    unlabelled = texts.join(free, "doc_id").select("doc_id", F.col("text").cast("binary").alias("text")).toPandas().sort_values("doc_id", kind="stable")
+    free = texts.select("doc_id").orderBy(seed, "doc_id").limit(max_unlabelled).withColumn("toxic", F.lit(-1))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids, at = features(*text_of(batch.column("text")))
+            raw = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), raw], ["doc_id", "toxic", "ids"])
+
+    wanted = chosen.select("doc_id", F.col("toxic").cast("int").alias("toxic")).union(free)
+    all_rows = texts.join(wanted, "doc_id").select("doc_id", "toxic", "text").mapInArrow(pack, "doc_id long, toxic int, ids binary").toPandas().sort_values(["doc_id", "toxic", "ids"], kind="stable")
+    rows, unlabelled = all_rows[all_rows["toxic"] >= 0], all_rows[all_rows["toxic"] < 0]
     toxic = (rows["toxic"] == 1).to_numpy()
     if not toxic.any():
         return None
-    model = train(list(rows["text"][toxic]), list(unlabelled["text"]), float(prior))
-    return calibrated(model, list(rows["text"]), toxic)
+    model = train(list(rows["ids"][toxic]), list(unlabelled["ids"]), float(prior))
+    return calibrated(model, list(rows["ids"]), toxic)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
