@@ -13,7 +13,7 @@ Tokenising follows the words: a text's ids are the ids of its white-space-separa
 since the tokenizer's normaliser and splitter never act across ASCII white space. So each distinct word of a batch
 is encoded once by the library and the ids are gathered.
 
-Defined results: a null or empty text has the end id alone; ties of doc_id are laid out in the order of their ids;
+Defined results: a null or empty text has the end id alone; ties of doc_id are laid out in the order of their ids' crc32, then of the ids;
 a null doc_id comes first; an empty table gives empty files and an empty result; other columns are ignored.
 """
 
@@ -264,7 +264,7 @@ def write_ids(docs: DataFrame, at: str, path: str | None = None, end: int = END)
             yield block()
 
     n = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = coded.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "ids").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").withColumn("part", F.spark_partition_id())
+    dealt = coded.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.crc32("ids")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.crc32("ids"), "ids").withColumn("part", F.spark_partition_id())
     dealt.mapInArrow(blocks, BLOCK).write.option("compression", "none").parquet(f"{at}/blocks")
 
 

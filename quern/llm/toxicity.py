@@ -83,6 +83,12 @@ def joined(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(rows), "<i4"), at
 
 
+def narrowed(ids: np.ndarray, at: np.ndarray, useful: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows with their useful features alone."""
+    keep = useful[ids]
+    return ids[keep], np.concatenate([[0], np.cumsum(keep)])[at]
+
+
 def train(positive: list[bytes], unlabelled: list[bytes], prior: float) -> Model:
     """Two classifiers in one: of the words that mark toxic texts in general, and with a smaller say of all that are
     likelier in them, which also know near copies of what was seen."""
@@ -98,6 +104,7 @@ def train_once(positive: list[bytes], unlabelled: list[bytes], prior: float, sha
     p, u = joined(positive), joined(unlabelled)
     in_p, in_u = np.bincount(p[0], minlength=WIDTH), np.bincount(u[0], minlength=WIDTH)
     useful = (in_p >= max(MIN_TEXTS, share * len(positive))) & (in_p * max(1, len(unlabelled)) >= lift * in_u * len(positive))
+    p, u = narrowed(*p, useful), narrowed(*u, useful)
     useful = np.append(useful, True)
     w, b = np.zeros(WIDTH), 0.0
     first, second = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
