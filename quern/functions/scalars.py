@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,8 +75,13 @@ def normalized(token: Column) -> Column:
 def word_shingles(text: Column, k: int) -> Column:
     """The distinct runs of k blank-separated words, joined by one space."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    runs = F.transform(words, lambda w, i: F.array_join(F.slice(words, i + 1, F.lit(k)), " "))
-    return F.array_distinct(F.slice(runs, F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(0))))
+    runs = lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws) - (k - 1)), lambda i: F.array_join(F.slice(ws, i, F.lit(k)), " "))
+    return let(words, lambda ws: F.when(F.size(ws) >= k, F.array_distinct(runs(ws))).otherwise(F.array().cast("array<string>")))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once for a row, not once for each element of a lambda that names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:
