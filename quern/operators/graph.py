@@ -170,8 +170,9 @@ def flow_relations(points: DataFrame, edges: DataFrame, events: DataFrame) -> Da
     A procedure's graph is one group: it is bounded by the size of a source function, not by the corpus."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [tuple(e) for e in pdf.edges.iloc[0] or []] if len(pdf) else []
-        seen = [(e["point"], e["event"], e["subject"]) for e in pdf.events.iloc[0] or []]
+        listed = lambda c: [] if pdf[c].iloc[0] is None else list(pdf[c].iloc[0])
+        own = [(int(a), int(b)) for a, b in listed("edges")]
+        seen = [(e["point"], e["event"], e["subject"]) for e in listed("events")]
         entry = int(pdf.entry.iloc[0])
         dom = dominators(entry, own)
         out, reach = [], reaching(entry, own, seen)
