@@ -6,18 +6,17 @@ passes over one buffer and no Python string is made for a word. A null text is a
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Bytes of text that one numpy pass takes on; a longer single document is a pass of its own.
 PASS_BYTES = 4 << 20
 #: Bytes and rows of the Arrow batches that Spark hands to Python.
@@ -34,7 +33,6 @@ BYTE_CODE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
-_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,15 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tuned(spark: SparkSession) -> SparkSession:
     """Bounds the Arrow batches of this session by bytes, so that long texts can't fill a Python worker, and sends
     this package to the executors, whatever their path."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        _shipped.add(context.applicationId)
-        package = Path(__file__).resolve().parents[1]
-        fd, at = tempfile.mkstemp(prefix="quern-", suffix=".zip")
-        with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w") as z:
-            for p in sorted(package.rglob("*.py")):
-                z.write(p, p.relative_to(package.parent))
-        context.addPyFile(os.path.realpath(at))
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
@@ -192,3 +182,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value worked out once for a row: an optimizer that merges projections would put its expression
     into every lambda that uses it, to be evaluated for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def free(name: str, df: DataFrame) -> str:
+    """The name, or a longer one that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

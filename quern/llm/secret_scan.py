@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import docs_only, let
+from .base import docs_only, free, let
 
 SCOPE = 400
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -115,14 +115,15 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     opened = spans(docs).withColumn("new", F.when(F.col("start") >= before, 1).when(before.isNull(), 1).otherwise(0))
     runs = opened.withColumn("run", F.sum("new").over(by)).groupBy("doc_id", "h", "run").agg(F.min("start").alias("a"), F.max("end").alias("b"))
-    cuts = runs.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_cuts"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    both = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")), "left")
+    name, whose, text_hash = (free(n, docs) for n in ("_cuts", "_whose", "_hash"))
+    cuts = runs.groupBy(F.col("doc_id").alias(whose), F.col("h").alias(text_hash)).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias(name))
+    text = F.coalesce("text", F.lit(""))
+    both = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col(whose)) & (F.xxhash64(text) == F.col(text_hash)), "left")
 
     def piece(i: Column) -> Column:
-        start = F.coalesce(F.get("_cuts", i - 1)["b"], F.lit(0))
-        stop = F.coalesce(F.get("_cuts", i)["a"], F.char_length("text").cast("long"))
+        start = F.coalesce(F.get(name, i - 1)["b"], F.lit(0))
+        stop = F.coalesce(F.get(name, i)["a"], F.char_length("text").cast("long"))
         return F.substring("text", (start + 1).cast("int"), (stop - start).cast("int"))
 
-    clean = F.array_join(F.transform(F.sequence(F.lit(0), F.size("_cuts")), piece), mark)
-    return both.withColumn("text", F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(clean)).drop("_id", "_h", "_cuts").select(*docs.columns)
+    clean = F.array_join(F.transform(F.sequence(F.lit(0), F.size(name)), piece), mark)
+    return both.withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(clean)).select(*docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U, docs_only, mix, per_row, powers, range_hashes, rows_of, slices, text_of, tuned, words_of
+from .base import U, docs_only, free, mix, per_row, powers, range_hashes, rows_of, slices, text_of, tuned, words_of
 
 SPAN, MIN_WORDS = 3, 10
 STOPS = np.zeros(256, bool)
@@ -85,16 +85,17 @@ def repeated(docs: DataFrame, span: int, min_words: int) -> DataFrame:
 def cut(docs: DataFrame, span: int, min_words: int, digest: bool) -> DataFrame:
     tuned(docs.sparkSession)
     names = docs.columns
-    keyed = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    later = repeated(docs_only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("t"), "text"), span, min_words).select(F.col("doc_id").alias("_d"), F.col("t").alias("_u"), F.col("spans").alias("_spans"))
-    both = keyed.join(later, keyed["doc_id"].eqNullSafe(later["_d"]) & (keyed["_t"] == later["_u"]), "left").select(*names, "_spans")
+    text, found = free("_t", docs), free("_spans", docs)
+    keyed = docs.withColumn(text, F.xxhash64(F.coalesce("text", F.lit(""))))
+    later = repeated(docs_only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("t"), "text"), span, min_words).withColumnRenamed("spans", found)
+    both = keyed.join(later, keyed["doc_id"].eqNullSafe(later["doc_id"]) & (keyed[text] == later["t"]), "left").select(*(keyed[c] for c in names), later[found])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, at = text_of(batch.column("text"))
             starts, _, words, first, rows_at = sentences(data, at)
             row, i, stop, _, _ = spans_of(words, first, rows_at, span, min_words)
-            spans = batch.column("_spans")
+            spans = batch.column(found)
             flat = spans.flatten().to_numpy(zero_copy_only=False)
             of = np.repeat(np.arange(len(spans)), np.nan_to_num(np.asarray(spans.value_lengths().fill_null(0))))
             hit = np.isin((row.astype(np.int64) << 32) | i, (of.astype(np.int64) << 32) | flat.astype(np.int64))
