@@ -5,14 +5,14 @@ TREES independent trees: a node names one of its minwise tokens, and one time in
 branches are expected, the number at which a pair at the similarity bound keeps a branch in common; a document
 goes to the child of each named token's value. The work on nodes:
 
-1. Every document is held against the smallest document of its first-level nodes (a star, not all pairs), and
+1. Every document is held against the smallest document of its nodes at level START (a star, not all pairs), and
    links are confirmed on the full sets. Their connected components settle nearly all nodes, large ones too.
 2. Nodes that still hold more than one component go on branching until they are small, and small ones are compared
    exhaustively: first by sketches, between different components only, then on the full sets.
 
 Links inside a component can't change the result and are not looked for. The number of trees follows the recall aimed at:
-a pair at the bound is missed by one tree of depth 1 with probability 0.16, by one of depth 4 with 0.42; sixteen
-trees miss 2e-13 and 1e-6 of such pairs. Star partners and node blocks are dealt out in chunks, so no task
+a pair at the bound has parted by level 3 of a tree with probability 0.36, by level 6 with 0.51; sixteen trees miss
+7e-8 and 2e-5 of such pairs, and level 6 is only reached in nodes that stay large. Star partners and node blocks are dealt out in chunks, so no task
 gets an unbounded group; texts are fetched only for documents that share a node with another.
 
 Defined results: a document without words (null text included) has n_shingles 0, is its own component and is kept.
@@ -34,6 +34,8 @@ from .components import connected
 from .quality_rules import repeats
 
 TREES, COORDINATES, DEPTH = 16, 48, 4
+#: The level of the nodes that are looked at first: texts that share a passage alone seldom get so far together.
+START = 3
 #: Members of a node that are compared exhaustively; of a block of a node that stays large; of a star's chunk.
 SMALL, BLOCK, CHUNK = 64, 1024, 64
 #: Sketches agreeing in less than this share are not confirmed: 5 standard deviations below the bound.
@@ -87,23 +89,27 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def branches(rows: DataFrame, trees: int) -> DataFrame:
-    """node, doc of the children of all members: rows has node (null: the roots), doc, sketch."""
+    """node, doc of the children of all members, rows having node, doc, sketch; without node those at level START."""
 
     def branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = np.frombuffer(text_of(batch.column("sketch"))[0], "<u4").reshape(-1, COORDINATES)
             doc = batch.column("doc").to_numpy(zero_copy_only=False)
-            if "node" in batch.schema.names:
-                parents = [(batch.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.arange(len(doc)))]
+            roots = "node" not in batch.schema.names
+            if roots:
+                level = [(np.full(len(doc), mix(np.array([t + 1], np.uint64))[0]), np.arange(len(doc))) for t in range(trees)]
             else:
-                parents = [(np.full(len(doc), mix(np.array([t + 1], np.uint64))[0]), np.arange(len(doc))) for t in range(trees)]
-            out = []
-            for path, rows in parents:
-                one = mix(path + U(0x5851F42D4C957F2D))
-                two = mix(one + U(0x14057B7EF767814F))
-                for named, who in ((one, rows), (two, rows[(one >> U(62)) == 0])):
-                    j = (named[who] % U(COORDINATES)).astype(np.int64)
-                    out.append((mix(path[who] * U(0x9E6C63D0876A9A35) + named[who] + tokens[who, j]).view(np.int64), doc[who]))
+                level = [(batch.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.arange(len(doc)))]
+            for _ in range(START if roots else 1):
+                below = []
+                for path, who in level:
+                    one = mix(path + U(0x5851F42D4C957F2D))
+                    two = mix(one + U(0x14057B7EF767814F))
+                    for named, some in ((one, slice(None)), (two, np.flatnonzero((one >> U(62)) == 0))):
+                        j = (named[some] % U(COORDINATES)).astype(np.int64)
+                        below.append((mix(path[some] * U(0x9E6C63D0876A9A35) + named[some] + tokens[who[some], j]), who[some]))
+                level = below
+            out = [(path.view(np.int64), doc[who]) for path, who in level]
             for node, who in out:
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(who, pa.int64())], ["node", "doc"])
 
