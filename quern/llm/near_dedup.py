@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import LOWER, U, docs_only, grams, mix, per_row, range_hashes, rows_of, slices, text_of, tuned, within_rows, words_of, written
@@ -173,8 +173,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, trees: in
     open_nodes = written(labelled(nodes.select("node", "doc"), labels).transform(unsettled))
     pairs = None
     for depth in range(DEPTH):
-        count = F.count(F.lit(1)).over(Window.partitionBy("node"))
-        sized = written(open_nodes.withColumn("n", count).join(members.select("doc", "sketch"), "doc"))
+        sized = written(open_nodes.join(members.select("doc", "sketch"), "doc"))
         last = depth == DEPTH - 1
         leaves = sized if last else sized.where(F.col("n") <= SMALL)
         more = blocks(leaves).groupBy("node", "i", "j").applyInArrow(lambda rows: alike(rows, SKETCH_BOUND), "a long, b long")
@@ -209,9 +208,9 @@ def labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def unsettled(nodes: DataFrame) -> DataFrame:
-    """The members of nodes with two components or more."""
-    still = nodes.groupBy("node").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("node")
-    return nodes.join(still, "node")
+    """The members of nodes with two components or more, with the node's size n."""
+    still = nodes.groupBy("node").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("node", "n")
+    return nodes.join(still, "node").select("node", "doc", "label", "n")
 
 
 def blocks(leaves: DataFrame) -> DataFrame:
