@@ -36,7 +36,7 @@ from .base import U, docs_only, mix, range_hashes, text_of, tuned
 
 WINDOW, GRAM, MOST_WINDOWS = 50, 20, 64
 #: Bytes of text of a shard of documents and of a bucket's share; symbols merged at once; transforms in a merge.
-SHARD_BYTES, BUCKET_BYTES, MERGE_SYMBOLS, TRANSFORMS = 4 << 20, 8 << 20, 1 << 20, 4
+SHARD_BYTES, BUCKET_BYTES, MERGE_SYMBOLS, TRANSFORMS = 3 << 20, 4 << 20, 1 << 19, 4
 LAST = (1 << 63) - 1
 
 
@@ -231,15 +231,18 @@ def substring_report(docs: DataFrame) -> DataFrame:
         least, one = np.minimum.reduceat(doc[order], opens), order[opens]
         keys, start, size = keys[one], start[one], size[one]
         shard = table["shard"][0].as_py()
-        return packed([(b, shard, keys[p].tobytes(), least[p].tobytes(), size[p].astype(np.uint8).tobytes(), joined(data, start[p], size[p] + WINDOW - 1).tobytes()) for b, p in by_bucket(keys, n_buckets)], asked)
+        return packed([(b, shard, keys[p].tobytes(), least[p].tobytes(), size[p].astype(np.uint8).tobytes(), pa.compress(joined(data, start[p], size[p] + WINDOW - 1).tobytes(), codec="zstd", asbytes=True)) for b, p in by_bucket(keys, n_buckets)], asked)
 
     answered = pa.schema([("shard", pa.int32()), ("names", pa.binary()), ("runs", pa.binary()), ("lengths", pa.binary()), ("docs", pa.binary())])
 
     def answer(table: pa.Table) -> pa.Table:
         """names of pieces, number of runs of equal doc_ids in each, the runs' lengths and doc_ids, for each shard."""
         keys, docs, size = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("keys", "<u8"), ("docs", "<i8"), ("sizes", "u1")))
-        size, data = size.astype(np.int64), np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
+        size = size.astype(np.int64)
         length = size + WINDOW - 1
+        of = np.cumsum([0, *(len(b) // 8 for b in table["keys"].to_pylist())])
+        raw_at = np.concatenate([[0], np.cumsum(length)])[of]
+        data = np.frombuffer(b"".join(pa.decompress(b, int(n), codec="zstd", asbytes=True) for b, n in zip(table["bytes"].to_pylist(), np.diff(raw_at))), np.uint8)
         start = np.cumsum(length) - length
         names = piece_hashes(data, keys, start, size)
         # Distinct pieces with their least doc_id, minimizer by minimizer.
