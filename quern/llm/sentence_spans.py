@@ -1,9 +1,11 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence is a run of words that ends with `.`, `!` or `?` or before a line break. Every run of SPAN consecutive sentences,
-lengthened until it has MIN_WORDS words, is hashed (128 bits of its words, whatever the white space); spans are
-joined over all documents, and sentences covered by an occurrence of a span that is not its first one - in the order of
-doc_id, then of place - are removed.
+A sentence is a run of words that ends with `.`, `!` or `?` or before a line break. A run of sentences is long enough if it has
+ENOUGH_WORDS words, or SPAN sentences and MIN_WORDS words. From each sentence the shortest such run onwards and the shortest
+backwards are hashed (128 bits of the words, whatever the white space); these spans are joined over all
+documents, and sentences covered by an occurrence of a span that is not its first one - in the order of doc_id, then of
+place - are removed. With both directions, no sentence of a repeated run that is long enough is missed: if too few words
+follow it in the run, it is covered by the span that ends with the run.
 
 The first occurrences are one aggregation with partial sums before the shuffle; only spans that occur twice or more are joined
 back, a join that Spark splits where one span is very frequent. No group is gathered except a document's own spans.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .base import U, docs_only, free, mix, per_row, powers, range_hashes, rows_of, slices, text_of, tuned, words_of
 
-SPAN, MIN_WORDS = 3, 10
+SPAN, MIN_WORDS, ENOUGH_WORDS = 3, 10, 15
 STOPS = np.zeros(256, bool)
 STOPS[list(b".!?")] = True
 LAST = (1 << 63) - 1
@@ -43,14 +45,19 @@ def sentences(data: np.ndarray, at: np.ndarray):
     return starts, ends, range_hashes(data, starts, ends), first, np.searchsorted(first, words_at)
 
 
-def spans_of(words: np.ndarray, first: np.ndarray, rows_at: np.ndarray, span: int, min_words: int):
-    """For each span: its row, its first sentence in the row, the sentence after it, two hashes."""
+def spans_of(words: np.ndarray, first: np.ndarray, rows_at: np.ndarray, span: int, min_words: int, enough: int):
+    """For each span: its row, its place in the row (by first sentence, then length), its first sentence, the one after it, two hashes."""
     n = len(first) - 1
     i = np.arange(n)
     row = rows_of(rows_at)
-    stop = np.maximum(i + span, np.searchsorted(first, first[:-1] + min_words))
-    good = stop <= rows_at[row + 1]
-    i, stop, row = i[good], stop[good], row[good]
+    after = lambda k: np.searchsorted(first, first[:-1] + k)
+    before = lambda k: np.searchsorted(first, first[1:] - k, "right") - 1
+    stop = np.minimum(np.maximum(i + span, after(min_words)), np.maximum(i + 1, after(enough)))
+    back = np.maximum(np.minimum(i + 1 - span, before(min_words)), np.minimum(i, before(enough)))
+    onward = stop <= rows_at[row + 1]
+    backward = back >= rows_at[row]
+    backward[backward] = stop[back[backward]] != i[backward] + 1
+    i, stop, row = np.append(i[onward], back[backward]), np.append(stop[onward], i[backward] + 1), np.append(row[onward], row[backward])
     up, down = powers(len(words) + 1)
     out = []
     for values in (words, mix(words ^ U(0x5BF03635F0935AD1))):
@@ -58,50 +65,52 @@ def spans_of(words: np.ndarray, first: np.ndarray, rows_at: np.ndarray, span: in
         np.cumsum(values * up[: len(words)], out=prefix[1:])
         a, b = first[i], first[stop]
         out.append(mix((prefix[b] - prefix[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64))
-    return row, i - rows_at[row], stop - rows_at[row], *out
+    # A sentence has a word at least, so that no span has more sentences than this.
+    place = (i - rows_at[row]) * max(span, min_words) + stop - i - 1
+    return row, place, i, stop, *out
 
 
-def span_rows(docs: DataFrame, span: int, min_words: int) -> DataFrame:
-    """h1, h2, doc_id, t, i of all spans; docs has doc_id, t, text."""
+def span_rows(docs: DataFrame, span: int, min_words: int, enough: int) -> DataFrame:
+    """h1, h2, doc_id, t, i (place) of all spans; docs has doc_id, t, text."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             _, _, words, first, rows_at = sentences(*text_of(batch.column("text")))
-            row, i, _, h1, h2 = spans_of(words, first, rows_at, span, min_words)
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), batch.column("doc_id").take(pa.array(row)), batch.column("t").take(pa.array(row)), pa.array(i.astype(np.int32))], ["h1", "h2", "doc_id", "t", "i"])
+            row, place, _, _, h1, h2 = spans_of(words, first, rows_at, span, min_words, enough)
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), batch.column("doc_id").take(pa.array(row)), batch.column("t").take(pa.array(row)), pa.array(place.astype(np.int64))], ["h1", "h2", "doc_id", "t", "i"])
 
-    return docs.mapInArrow(emit, "h1 long, h2 long, doc_id long, t long, i int")
+    return docs.mapInArrow(emit, "h1 long, h2 long, doc_id long, t long, i long")
 
 
-def repeated(docs: DataFrame, span: int, min_words: int) -> DataFrame:
+def repeated(docs: DataFrame, span: int, min_words: int, enough: int) -> DataFrame:
     """doc_id, t, spans: the places of each text's spans that are not first occurrences."""
-    rows = span_rows(docs, span, min_words)
+    rows = span_rows(docs, span, min_words, enough)
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("t"), F.col("i"))
     first = rows.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("h1", "h2", "a")
     later = rows.join(first, ["h1", "h2"]).where(place != F.col("a"))
     return later.groupBy("doc_id", "t").agg(F.collect_set("i").alias("spans"))
 
 
-def cut(docs: DataFrame, span: int, min_words: int, digest: bool) -> DataFrame:
+def cut(docs: DataFrame, span: int, min_words: int, enough: int, digest: bool) -> DataFrame:
     tuned(docs.sparkSession)
     names = docs.columns
     text, found = free("_t", docs), free("_spans", docs)
     keyed = docs.withColumn(text, F.xxhash64(F.coalesce("text", F.lit(""))))
-    later = repeated(docs_only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("t"), "text"), span, min_words).withColumnRenamed("spans", found)
+    later = repeated(docs_only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("t"), "text"), span, min_words, enough).withColumnRenamed("spans", found)
     both = keyed.join(later, keyed["doc_id"].eqNullSafe(later["doc_id"]) & (keyed[text] == later["t"]), "left").select(*(keyed[c] for c in names), later[found])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, at = text_of(batch.column("text"))
             starts, _, words, first, rows_at = sentences(data, at)
-            row, i, stop, _, _ = spans_of(words, first, rows_at, span, min_words)
+            row, place, i, stop, _, _ = spans_of(words, first, rows_at, span, min_words, enough)
             spans = batch.column(found)
             flat = spans.flatten().to_numpy(zero_copy_only=False)
             of = np.repeat(np.arange(len(spans)), np.nan_to_num(np.asarray(spans.value_lengths().fill_null(0))))
-            hit = np.isin((row.astype(np.int64) << 32) | i, (of.astype(np.int64) << 32) | flat.astype(np.int64))
+            hit = np.isin((row.astype(np.int64) << 43) | place, (of.astype(np.int64) << 43) | flat.astype(np.int64))
             edge = np.zeros(len(first) + 1, np.int64)
-            np.add.at(edge, rows_at[row[hit]] + i[hit], 1)
-            np.add.at(edge, rows_at[row[hit]] + stop[hit], -1)
+            np.add.at(edge, i[hit], 1)
+            np.add.at(edge, stop[hit], -1)
             gone = np.cumsum(edge)[: len(first) - 1] > 0
             # A sentence goes with what stands between it and the next one; the text before the first word stays.
             byte_edge = np.append(starts, len(data))[first] if len(first) > 1 else np.array([len(data)])
@@ -125,11 +134,11 @@ def cut(docs: DataFrame, span: int, min_words: int, digest: bool) -> DataFrame:
     return both.mapInArrow(clean, "doc_id long, n_sentences long, n_removed long, n_removed_bytes long, kept_sha256 string" if digest else docs.schema)
 
 
-def without_repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, enough: int = ENOUGH_WORDS) -> DataFrame:
     """docs with the repeated sentences taken out of text."""
-    return cut(docs, span, min_words, False)
+    return cut(docs, span, min_words, enough, False)
 
 
-def span_report(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
+def span_report(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, enough: int = ENOUGH_WORDS) -> DataFrame:
     """doc_id, n_sentences, n_removed, n_removed_bytes, kept_sha256: one row for each row of docs."""
-    return cut(docs_only(docs, "doc_id", "text"), span, min_words, True)
+    return cut(docs_only(docs, "doc_id", "text"), span, min_words, enough, True)

@@ -161,6 +161,38 @@ def test_sentence_spans(spark):
     assert {r.text for r in left.where("doc_id = 2").collect()} == {"Other words before. Some more."} and left.columns == ["doc_id", "text", *CLASH]
 
 
+def test_sentence_spans_of_two_sentences(spark):
+    rng = random.Random(8)
+    some = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 10**6)) for _ in range(n))
+    two = f"{some(22)}. {some(26)}."
+    passage = f"{some(3)}. {two} {some(4)}"  # cut in mid-sentence at both ends
+    short = f"{some(4)}. {some(5)}. {some(2)}. {some(16)}."  # its last but one sentence has too few words after it
+    copy = some(20) + "."
+    rows = [(1, f"{some(9)} {passage} {some(7)}."), (2, f"{some(8)} {passage} {some(5)}."), (3, copy), (4, copy), (5, f"{some(6)}. {short} {some(6)}."), (6, f"{some(7)}. {short} {some(5)}."), (7, f"{copy} {some(3)}. {copy} {copy}")]
+    left = {r.doc_id: r.text for r in sentence_spans.without_repeats(table(spark, rows)).collect()}
+    assert all(left[d] == t for d, t in rows if d in (1, 3, 5)) and left[4] == ""
+    assert left[2] == rows[1][1].replace(two + " ", "") and left[6] == rows[5][1].replace(short + " ", "") and copy not in left[7]
+    kept = {r.doc_id: r.n_removed for r in sentence_spans.span_report(table(spark, rows)).collect()}
+    assert kept == {1: 0, 2: 2, 3: 0, 4: 1, 5: 0, 6: 4, 7: 3}
+
+
+def test_sentence_spans_against_all_runs(spark):
+    rng = random.Random(12)
+    pool = [" ".join(rng.choice("pqrs") + str(rng.randint(0, 99)) for _ in range(rng.choice([1, 2, 4, 7, 11, 16]))) + "." for _ in range(25)]
+    rows = [(d, " ".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for d in range(60)]
+    split = {d: re.findall(r"[^.]+\.", t) for d, t in rows}
+    seen, gone = set(), {d: set() for d in split}
+    for d, parts in sorted(split.items()):
+        for a in range(len(parts)):
+            for b in range(a + 1, len(parts) + 1):
+                run = " ".join(parts[a:b]).split()
+                if len(run) >= 15 or (b - a >= 3 and len(run) >= 10):
+                    gone[d] |= set(range(a, b)) if tuple(run) in seen else set()
+                    seen.add(tuple(run))
+    got = {r.doc_id: r.n_removed for r in sentence_spans.span_report(table(spark, rows)).collect()}
+    assert got == {d: len(g) for d, g in gone.items()} and any(gone.values())
+
+
 def test_byte_bpe(spark, rows):
     path = byte_bpe.public_tokenizers.path(byte_bpe.VOCABULARY)
     enc = byte_bpe.encoding(path)
