@@ -1,11 +1,11 @@
-"""Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations alone.
+"""Benchmark decontamination by item-sized windows at every start, in DataFrame operations alone.
 
-A window as long as an item that links to it (weighted similarity of word shingles of 0.8 or more) shares a shingle with
-it. So windows are laid where a document's shingle is one of the benchmark's, aligned with it; that is found in one scan
-of the whole texts. Each window and item has a 64-bit SimHash. The fingerprints are cut into RADIUS + 1 blocks:
-two that differ in at most RADIUS bits agree on one block at least, so an equality join on (words, block, value) finds
-all pairs within the radius, and the exact similarity of the weighted shingles decides. Pairs of one shingle set with
-0.8 similarity differ in about 10 bits of 64, with a standard deviation of 3; the radius is 3 of those away.
+A window as long as an item links to it if their weighted similarity of word shingles is 0.8 or more. One scan of the whole
+texts finds the places of a document's shingles that are one of the benchmark's. A pair of a document and an item
+with fewer such places than 0.8 of the item's shingles has no linking window. For the others the closest window is worked out
+exactly from the places: a place counts for the windows that hold it, unless as many places of that shingle as the item
+has stand before it in the window, so it counts for one interval of starts, and a sweep over the intervals' ends gives
+the shared weight at every start. The order of the shingles is not regarded: an item with its parts in another order is found.
 
 What the scan is given of the benchmark is a table of places of its shingles' hashes, sized by them up to MOST_BYTES; where that is full
 it only lets more positions on to the join, which is exact. The join with the benchmark's shingles is left to Spark:
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .base import docs_only, let
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 19
+SHINGLE, SIMILARITY = 5, 0.8
 BYTES_PER_SHINGLE, MOST_BYTES = 32, 1 << 20
 
 
@@ -41,19 +41,30 @@ def shingles(size: Column | int, array: Column) -> Column:
     return let(array, lambda w: F.coalesce(*(F.when(size == k, shingles(k, w)) for k in range(1, SHINGLE + 1)), F.array().cast("array<bigint>")))
 
 
-def simhash(hashes: Column) -> Column:
-    """Bit b is set if more shingles, each as often as it stands there, have it than have not."""
-    zero = F.lit(0).cast("long")
-    more = lambda a, b: F.aggregate(a, F.lit(0), lambda s, h: s + F.when(F.getbit(h, b) == 1, 1).otherwise(-1)) > 0
-    bits = lambda a: F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda s, b: s + F.when(more(a, b), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(zero))
-    return let(hashes, bits)
+def closest(places: Column, m: Column, length: Column) -> Column:
+    """(similarity, back): the highest similarity of a window of m shingles in a text of `length`, and minus its first start.
 
+    places are (hash, c, i): a shingle that the item has c times stands at i. What is shared changes at the ends of the places'
+    intervals alone, and windows cut by the end of the text get closer as they get shorter, so the best one starts at an end."""
+    zero = F.struct(F.lit(0.0).alias("similarity"), F.lit(0).alias("back"))
+    at = lambda shared, start: F.struct((shared / (F.least(m, length - start) + m - shared)).alias("similarity"), (-start).alias("back"))
 
-def block_values(fingerprint: str) -> Column:
-    """(block, value) for the RADIUS + 1 blocks."""
-    edges = [64 * k // (RADIUS + 1) for k in range(RADIUS + 2)]
-    cut = [F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
-    return F.explode(F.array(*cut))
+    def ends(a: Column) -> Column:
+        def two(x: Column, k: Column) -> Column:
+            before = F.get(a, k - x["c"])
+            low = F.greatest(x["i"] - m + 1, F.lit(0), F.when(before["hash"] == x["hash"], before["i"] + 1))
+            return F.array(F.struct(low.alias("start"), F.lit(1).alias("by")), F.struct((x["i"] + 1).alias("start"), F.lit(-1).alias("by")))
+
+        return F.array_sort(F.flatten(F.transform(a, two)))
+
+    def step(s: Column, e: Column) -> Column:
+        # At one start those that leave come first; the window before them is judged with what it still shares.
+        shared = s["shared"] + e["by"]
+        seen = F.when(e["by"] > 0, at(shared, e["start"])).otherwise(at(s["shared"], e["start"] - 1))
+        return F.struct(shared.alias("shared"), F.greatest(s["best"], seen).alias("best"))
+
+    start = F.struct(F.lit(0).alias("shared"), zero.alias("best"))
+    return F.aggregate(let(F.array_sort(places), ends), start, step)["best"]
 
 
 def probes(h: Column, mask: int) -> list[Column]:
@@ -79,13 +90,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     (word offset and length), with its similarity of SIMILARITY or more."""
     spark = docs.sparkSession
     items = docs_only(benchmark, "item_id", "text").select("item_id", words("text").alias("words")).where(F.size("words") > 0)
+    items = items.withColumn("item", F.xxhash64("words")).dropDuplicates(["item_id", "item"])
     items = items.withColumn("n", F.size("words")).withColumn("size", F.least("n", F.lit(SHINGLE)))
-    items = items.withColumn("hashes", shingles(F.col("size"), F.col("words"))).withColumn("print", simhash(F.col("hashes")))
-    longest, sizes = items.agg(F.max("n"), F.collect_set("size")).head()
+    placed = items.select("item_id", "item", "n", "size", F.explode(shingles(F.col("size"), F.col("words"))).alias("hash"))
+    counted = placed.groupBy("item_id", "item", "n", "size", "hash").agg(F.count("*").cast("int").alias("c"))
+    sizes = items.agg(F.collect_set("size")).head()[0]
     empty = "doc_id bigint, item_id bigint, similarity double, start int, n_words int"
-    if longest is None:
+    if not sizes:
         return spark.createDataFrame([], empty)
-    placed = items.select("item_id", "n", "size", F.posexplode("hashes").alias("at", "hash"))
     table = byte_table(placed.select("hash").distinct())
 
     known, one = F.lit(table), F.lit(bytearray(b"\x01"))
@@ -94,28 +106,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = F.transform(shingles(size, w), lambda h, i: F.struct(F.lit(size).alias("size"), i.alias("i"), h.alias("hash")))
         return F.filter(found, lambda x: reduce(Column.__and__, (F.substring(known, p, F.lit(1)) == one for p in probes(x["hash"], len(table) - 1))))
 
-    def around(w: Column) -> Column:
-        """The hits, each with the words around it as far as the longest item reaches either way."""
-        low = lambda x: F.greatest(x["i"] - longest, F.lit(0))
-        return F.transform(F.concat(*(hits(s, w) for s in sorted(sizes))), lambda x: F.struct(x["size"].alias("size"), x["i"].alias("i"), x["hash"].alias("hash"), low(x).alias("low"), F.slice(w, low(x) + 1, F.lit(2 * longest + SHINGLE)).alias("around")))
-
-    seeds = docs_only(docs, "doc_id", "text").select("doc_id", F.explode(let(words("text"), around)).alias("s")).select("doc_id", "s.*")
-    starts = seeds.join(placed.distinct(), ["hash", "size"]).select("doc_id", "n", "size", (F.col("i") - F.col("at")).alias("start"), "low", "around")
-    # Windows reach to the edge of the text where an item would reach beyond.
-    first = F.greatest("start", F.lit(0))
-    window = F.slice("around", (first - F.col("low") + 1).cast("int"), F.col("n"))
-    windows = starts.select("doc_id", "n", "size", first.alias("start"), window.alias("words")).distinct()
-    windows = windows.withColumn("hashes", shingles(F.col("size"), F.col("words"))).where(F.size("hashes") > 0).withColumn("print", simhash(F.col("hashes")))
-
-    left = windows.select("doc_id", "n", "start", "hashes", "print", block_values("print").alias("b")).select("*", "b.*").drop("b")
-    right = items.select("item_id", F.col("n"), F.col("hashes").alias("item_hashes"), F.col("print").alias("item_print"), block_values("print").alias("b")).select("*", "b.*").drop("b")
-    near = left.join(right, ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-    near = near.select("doc_id", "item_id", "n", "start", "hashes", "item_hashes").distinct()
-    count = lambda a, h: F.size(F.filter(a, lambda x: x == h))
-    both = F.struct(F.array_union("hashes", "item_hashes").alias("u"), F.col("hashes").alias("a"), F.col("item_hashes").alias("b"))
-    total = lambda f: let(both, lambda z: F.aggregate(z["u"], F.lit(0), lambda s, h: s + f(count(z["a"], h), count(z["b"], h))))
-    judged = near.withColumn("similarity", total(F.least) / total(F.greatest)).where(F.col("similarity") >= SIMILARITY)
-    best = judged.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("m"))
+    def every(w: Column) -> Column:
+        return F.transform(F.concat(*(hits(k, w) for k in sorted(sizes))), lambda x: F.struct(x["size"].alias("size"), x["i"].alias("i"), x["hash"].alias("hash"), F.size(w).alias("of")))
+
+    seeds = docs_only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("t"), F.explode(let(words("text"), every)).alias("s")).select("doc_id", "t", "s.*")
+    found = seeds.join(counted, ["hash", "size"]).groupBy("doc_id", "t", "of", "item_id", "item", "n", "size").agg(F.collect_set(F.struct("hash", "c", "i")).alias("places"))
+    m, length = F.col("n") - F.col("size") + 1, F.col("of") - F.col("size") + 1
+    judged = found.where(F.size("places") / m >= SIMILARITY).select("doc_id", "item_id", "n", closest(F.col("places"), m, length).alias("w")).select("doc_id", "item_id", "n", "w.*")
+    best = judged.where(F.col("similarity") >= SIMILARITY).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "back", "n")).alias("m"))
     return best.select("doc_id", "item_id", "m.similarity", (-F.col("m.back")).cast("int").alias("start"), F.col("m.n").cast("int").alias("n_words"))
 
 

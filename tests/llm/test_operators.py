@@ -295,6 +295,28 @@ def test_decontamination(spark):
     assert decontamination.leaks(table(spark, []), bench).count() == 0
 
 
+def test_decontamination_of_reordered_items(spark):
+    rng = random.Random(6)
+    some = lambda n: [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+    items = {i: some(n) for i, n in enumerate((1, 3, 5, 6, 20, 40, 60, 100, 150))} | {20: ["a", "b"] * 15, 21: some(12) * 3, 22: ["x"] * 9}
+    docs = [(900, " ".join(["x"] * 30)), (901, " ".join(["a", "b"] * 40)), (902, "a b c"), (903, None)]
+    for i, v in items.items():
+        half, third = len(v) // 2, len(v) // 3
+        for k, w in enumerate((v[half:] + v[:half], v[2 * third :] + v[third : 2 * third] + v[:third], v, v[: len(v) - len(v) // 7], [x for x in v if x != v[half]])):
+            docs += [(i * 10 + k, " ".join(some(30) + w + some(rng.choice([0, 3, 30])))), (i * 10 + k + 300, " ".join(w + some(40)))]
+    docs += docs[-2:]
+    want = {}
+    for d, t in docs:
+        w = (t or "").split()
+        for item, v in items.items():
+            near = [(weighted(w[k : k + len(v)], v), -k, len(v)) for k in range(len(w)) if len(w) - k >= min(5, len(v))]
+            if near and max(near)[0] >= 0.8:
+                want[d, item] = max(near)
+    bench = spark.createDataFrame([(i, " ".join(v)) for i, v in items.items()] + [(4, " ".join(items[4]).upper())], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, -r.start, r.n_words) for r in decontamination.leaks(table(spark, docs), bench).collect()}
+    assert got == want and {(60, 6), (70, 7), (80, 8), (900, 22), (901, 20)} <= set(got)
+
+
 def greedy(word, tokens, prefix=b""):
     i = n = 0
     while i < len(word):
