@@ -213,9 +213,9 @@ register("used_by", "SELECT DISTINCT p_partkey, l_orderkey AS owner FROM part JO
 register("uses", "SELECT DISTINCT o_orderkey, l_partkey AS target FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'")(lambda s, d: t(s, d, "orders").where("o_orderstatus = 'P'").join(t(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.col("l_partkey").alias("target")).distinct())
 
 
-def calls(s, d) -> DataFrame:
+def calls(s, d, suppliers: str = "l_suppkey <= 10") -> DataFrame:
     """supplier s calls part p, part p calls part p / 2."""
-    l = t(s, d, "lineitem").where("l_suppkey <= 10").select((-F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    l = t(s, d, "lineitem").where(suppliers).select((-F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst")).distinct()
     return l.union(t(s, d, "part").where("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("long").alias("dst")))
 
 
@@ -483,7 +483,8 @@ def shortest_paths(s, d):
 
 @register("page_rank")
 def page_rank(s, d):
-    return graph.page_rank(s, calls(s, d).where("src > 0 and src < 500"), 10)
+    """Ranks of the whole call graph, every supplier's calls included."""
+    return graph.page_rank(s, graph.cut_lineage(calls(s, d, "l_suppkey is not null")), 10)
 
 
 @register("html_nodes")
