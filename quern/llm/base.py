@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +29,12 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_RANDOM = np.random.default_rng(20240611)
-BYTE_CODE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+#: Ranges of more bytes are hashed one by one.
+BLOCKWISE = 64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
+_tables: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,22 +51,41 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only where none is set and driver and
+    executors are one machine."""
     context = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not at:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="quern-")
         context.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def new_folder(spark: SparkSession, kind: str = "quern") -> str:
+    """A name for a new folder in the shared folder; `clear` removes it."""
+    _tables.append(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _tables[-1]
+
+
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    at = f"{shared_dir(df.sparkSession)}/quern-{uuid.uuid4().hex}"
+    at = new_folder(df.sparkSession)
     df.write.option("compression", compression).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def clear(spark: SparkSession) -> int:
+    """Removes the intermediate tables that this driver wrote, once the results that read them are stored; how many."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    n = len(_tables)
+    while _tables:
+        at = path(_tables.pop())
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return n
+
+
 def text_of(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary array, and the len + 1 offsets of its rows; null is empty."""
     if isinstance(array, pa.ChunkedArray):
@@ -115,12 +136,65 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def blocks_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on, zeros after its end."""
+    raw = np.zeros(len(data) + 8, np.uint8)
+    raw[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", raw, 0, (1,))
+
+
+def first_bytes(n: np.ndarray) -> np.ndarray:
+    """Masks of the first n bytes of a block, 8 at most."""
+    return U(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(n, 8)) * 8).astype(np.uint64)
+
+
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end], by differences of one polynomial prefix sum."""
-    up, down = powers(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * up[: len(data)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each data[start:end]: every eight bytes are mixed in, one after another; long ranges by XXH3."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * U(0xD6E8FEB86659FD93) + U(0x2545F4914F6CDD1D))
+    load = blocks_at(data)
+    lanes = np.arange(len(size)) if not len(size) or size.max() <= BLOCKWISE else np.flatnonzero(size <= BLOCKWISE)
+    for k in range(0, BLOCKWISE, 8):
+        lanes = lanes[size[lanes] > k]
+        if not len(lanes):
+            break
+        block = load[starts[lanes] + k] & first_bytes(size[lanes] - k)
+        out[lanes] = mix(out[lanes] ^ block) + U(0x9FB21C651E98DF25)
+    long = np.flatnonzero(size > BLOCKWISE)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long] = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist())), np.uint64, len(long))
+    return out
+
+
+def same_ranges(one: np.ndarray, at: np.ndarray, other: np.ndarray, where: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether one[at:at + size] and other[where:where + size] are the same bytes."""
+    out = np.ones(len(size), bool)
+    x, y = blocks_at(one), blocks_at(other)
+    lanes = np.flatnonzero(size <= BLOCKWISE)
+    for k in range(0, BLOCKWISE, 8):
+        lanes = lanes[size[lanes] > k]
+        if not len(lanes):
+            break
+        out[lanes] &= ((x[at[lanes] + k] ^ y[where[lanes] + k]) & first_bytes(size[lanes] - k)) == 0
+    for i in np.flatnonzero(size > BLOCKWISE).tolist():
+        out[i] = np.array_equal(one[at[i] : at[i] + size[i]], other[where[i] : where[i] + size[i]])
+    return out
+
+
+def distinct_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each kind of equal ranges, and the kind of every range. Bytes are compared: equal hashes alone make no kind."""
+    _, first, which = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size = ends - starts
+    same = size == size[first][which]
+    same[same] = same_ranges(data, starts[same], data, starts[first][which][same], size[same])
+    odd = np.flatnonzero(~same)
+    if len(odd):
+        named: dict[bytes, int] = {}
+        own = np.array([named.setdefault(data[starts[i] : ends[i]].tobytes(), len(named)) for i in odd.tolist()])
+        first, which = np.append(first, odd[np.unique(own, return_index=True)[1]]), which.copy()
+        which[odd] = len(first) - len(named) + own
+    return first, which
 
 
 def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,6 +229,20 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out + U(n))
 
 
+def rolling(words: np.ndarray) -> Callable[[int], np.ndarray]:
+    """A function of n: the hashes of the runs of n consecutive word hashes, as `grams`. The hash rolls: every length is a
+    difference of one prefix sum. Made for the few words of an n-gram, not for runs of thousands."""
+    up, down = powers(len(words) + 1)
+    prefix = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=prefix[1:])
+
+    def of(n: int) -> np.ndarray:
+        m = max(0, len(words) - n + 1)
+        return mix((prefix[n : n + m] - prefix[:m]) * down[:m] + U(n))
+
+    return of
+
+
 def within_rows(row_of_word: np.ndarray, n: int) -> np.ndarray:
     """Whether the run of n words that starts at each word ends in the same row."""
     m = len(row_of_word) - n + 1

@@ -11,7 +11,7 @@ marks (uint64, bit offsets), before (ids of the part's blocks before). The code
 
 Tokenising follows the words: a text's ids are the ids of its white-space-separated words one after another,
 since the tokenizer's normaliser and splitter never act across ASCII white space. So each distinct word of a batch
-is encoded once by the library and the ids are gathered.
+is encoded once by the library and the ids are gathered; words are told apart by their bytes, a hash only finds them.
 
 Defined results: a null or empty text has the end id alone; ties of doc_id are laid out in the order of their ids' crc32, then of the ids;
 a null doc_id comes first; an empty table gives empty files and an empty result; other columns are ignored.
@@ -20,7 +20,6 @@ a null doc_id comes first; an empty table gives empty files and an empty result;
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .base import docs_only, range_hashes, shared_dir, slices, text_of, tuned, words_of, written
+from .base import distinct_ranges, docs_only, new_folder, range_hashes, same_ranges, slices, text_of, tuned, words_of, written
 
 VOCABULARY, END = "word_bpe_49k.json", 1
 MAX_BITS, CHECKPOINT, BLOCK_IDS = 20, 512, 1 << 18
@@ -47,33 +46,47 @@ def tokenizer(path: str) -> Tokenizer:
 
 
 class Words:
-    """The ids of the words seen by this Python worker, by the words' hashes; forgotten when there are too many."""
+    """The ids of the words seen by this Python worker, found by the words' hashes and held against their bytes; forgotten when
+    there are too many."""
 
     def __init__(self, most: int = 1 << 20):
         self.most = most
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.hashes, self.at, self.size, self.begin, self.length = np.zeros(0, np.uint64), *np.zeros((4, 0), np.int64)
+        self.ids, self.raw = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
-    def look_up(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: bytes, path: str) -> tuple[np.ndarray, np.ndarray]:
-        """Place and number of ids of each word; hashes are distinct and sorted."""
+    def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of ids of each word; the words are distinct."""
         if len(self.hashes) > self.most:
             self.forget()
+        hashes, length = range_hashes(data, starts, ends), ends - starts
         at = np.searchsorted(self.hashes, hashes)
-        new = np.ones(len(hashes), bool)
+        taken = np.zeros(len(hashes), bool)
         inside = at < len(self.hashes)
-        new[inside] = self.hashes[at[inside]] != hashes[inside]
-        got = tokenizer(path).encode_batch_fast([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist())], add_special_tokens=False)
-        pieces = [e.ids for e in got]
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.fromiter(chain.from_iterable(pieces), np.uint32, int(size.sum()))
-        first = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, flat])
-        self.hashes, self.at, self.size = (np.insert(x, at[new], y) for x, y in ((self.hashes, hashes[new]), (self.at, first), (self.size, size)))
-        at = np.searchsorted(self.hashes, hashes)
-        return self.at[at], self.size[at]
+        taken[inside] = self.hashes[at[inside]] == hashes[inside]
+        known = taken.copy()
+        known[known] = self.length[at[known]] == length[known]
+        known[known] = same_ranges(data, starts[known], self.raw, self.begin[at[known]], length[known])
+        place, size = np.zeros((2, len(hashes)), np.int64)
+        place[known], size[known] = self.at[at[known]], self.size[at[known]]
+
+        new = np.flatnonzero(~known)
+        words = [data[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+        pieces = [e.ids for e in tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        size[new] = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        place[new] = len(self.ids) + np.cumsum(size[new]) - size[new]
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(pieces), np.uint32, int(size[new].sum()))])
+        begin = len(self.raw) + np.cumsum(length[new]) - length[new]
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(words), np.uint8)])
+        # A hash names one word here; others of that hash are encoded whenever they come.
+        keep = np.unique(hashes[new], return_index=True)[1]
+        keep = keep[~taken[new[keep]]]
+        own = new[keep]
+        columns = (self.hashes, hashes[own]), (self.at, place[own]), (self.size, size[own]), (self.begin, begin[keep]), (self.length, length[own])
+        self.hashes, self.at, self.size, self.begin, self.length = (np.insert(x, at[own], y) for x, y in columns)
+        return place, size
 
 
 _words: dict[str, Words] = {}
@@ -82,9 +95,9 @@ _words: dict[str, Words] = {}
 def encode_rows(data: np.ndarray, at: np.ndarray, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows, each closed with `end`, and the rows' offsets among them."""
     starts, ends, words_at = words_of(data, at)
-    hashes, first, which = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    first, which = distinct_ranges(data, starts, ends)
     words = _words.setdefault(path, Words())
-    place, size = words.look_up(hashes, starts[first], ends[first], data.tobytes(), path)
+    place, size = words.look_up(data, starts[first], ends[first], path)
     n = size[which]
     out_at = np.concatenate([[0], np.cumsum(n)])
     take = np.repeat(place[which] - out_at[:-1], n) + np.arange(out_at[-1])
@@ -277,6 +290,7 @@ def read_ids(spark: SparkSession, at: str) -> DataFrame:
     before = dict(zip([p for p, _ in parts], np.concatenate([[0], np.cumsum([n for _, n in parts])]).tolist()))
     lengths = np.frombuffer(spark.read.parquet(f"{at}/lengths").head()[0], np.uint8)
     sent = spark.sparkContext.broadcast((lengths, before))
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, before = sent.value
         by = decode_table(lengths)
@@ -299,6 +313,6 @@ def digests(read: DataFrame) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
     """Writes docs to a new folder of the shared storage and reads it back."""
-    at = f"{shared_dir(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
+    at = new_folder(docs.sparkSession, "ids")
     write_ids(docs, at, path, end)
     return digests(read_ids(docs.sparkSession, at))

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import U, docs_only, grams, mix, per_row, range_hashes, rows_of, slices, text_of, tuned, within_rows, words_of
+from .base import U, docs_only, mix, per_row, range_hashes, rolling, rows_of, slices, text_of, tuned, within_rows, words_of
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -82,9 +82,10 @@ def measure(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     out["n_dup_lines"] = np.bincount(line_row[full][line_later], minlength=len(at) - 1)
     out["dup_line_share"] = np.bincount(line_row[full][line_later], line_chars[line_later], minlength=len(at) - 1) / total
 
+    run_hashes = rolling(words)
     for n in (3, *GRAM_LIMITS):
         inside = within_rows(row, n)
-        keys = grams(words, n) ^ salt[: len(inside)]
+        keys = run_hashes(n) ^ salt[: len(inside)]
         every, later = np.zeros(len(inside), bool), np.zeros(len(inside), bool)
         every[inside], later[inside] = repeats(keys[inside])
         if n == 3:

@@ -22,7 +22,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import docs_only, per_row, range_hashes, slices, text_of, tuned, words_of
+from .base import distinct_ranges, docs_only, per_row, slices, text_of, tuned, words_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The state of a word that no more tokens fit.
@@ -169,8 +169,9 @@ def count_pieces(a: Automaton, data: np.ndarray, starts: np.ndarray, ends: np.nd
 
 
 def token_counts(docs: DataFrame, tokens: Iterable[bytes] | None = None, prefix: bytes = b"") -> DataFrame:
-    """doc_id, n_words, n_tokens, n_bytes of every document. The vocabulary is broadcast: its size is the tokenizer's,
-    not the corpus's."""
+    """doc_id, n_words, n_tokens, n_bytes of every document. The tokens given unless told otherwise are those of a byte-level
+    vocabulary without a word-piece prefix: n_tokens is then the greedy longest-match count over these, not the
+    tokenizer's own count by merges. The vocabulary is broadcast: its size is the tokenizer's, not the corpus's."""
     spark = tuned(docs.sparkSession)
     machine = spark.sparkContext.broadcast(automaton(tokens if tokens is not None else tokens_of(public_tokenizers.path(VOCABULARY)), prefix))
 
@@ -178,7 +179,7 @@ def token_counts(docs: DataFrame, tokens: Iterable[bytes] | None = None, prefix:
         for batch in slices(batches):
             data, at = text_of(batch.column("text"))
             starts, ends, words_at = words_of(data, at)
-            _, first, which = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            first, which = distinct_ranges(data, starts, ends)
             pieces = count_pieces(machine.value, data, starts[first], ends[first])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.diff(words_at)), pa.array(per_row(pieces[which], words_at)), pa.array(np.diff(at))],
