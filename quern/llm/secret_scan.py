@@ -3,8 +3,12 @@
 Strong kinds (assign, access, hex) are found by their patterns. Weak parts - identifiers, opaque keys and endpoints -
 say little alone; an interval join within a scope of SCOPE code points reports one only where a complementary part
 co-occurs: an identifier or an endpoint near a secret, a secret near an identifier or an endpoint. Strong findings count
-as parts (access as identifier, assign as secret). The join is an equality join on scope-wide bins against the least
-and greatest start of each class in a bin, so no pairs are emitted however many parts a text has.
+as parts (access as identifier, assign as secret). Parts complement each other only if they share no character, and what
+stands inside an endpoint is no key, so an ordinary URL is not its own complement.
+
+The join is a running maximum, not a table of pairs: within a bin of positions, each weak part looks up the last complement that
+ends before it and the next one that starts after it. Parts are sent to the bins within their scope, so a bin's rows are
+bounded by its width, however many parts a text has.
 
 A match's place is the length of what stands before it, from one split of the text by the same pattern; only
 lengths are shuffled. Rows are told apart by doc_id and a hash of the text, so equal rows share a result.
@@ -23,14 +27,23 @@ from pyspark.sql import functions as F
 
 from .base import docs_only, free, let
 
-SCOPE = 400
+SCOPE, BIN = 400, 4096
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-#: kind: pattern, the least length of its second group or 0, its class as a part.
-STRONG = {"assign": (ASSIGN, 12, "secret"), "access": (r"AKIA[A-Z0-9]{14,}", 0, "identifier"), "hex": (r"[0-9a-f]{16,}", 0, None)}
-WEAK = {
-    "weak_id": (r"""(?i:client_?id|user(?:name)?|account|login|tenant)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}|\bA[SG]IA[A-Z0-9]{12,}""", 0, "identifier"),
-    "weak_key": (r"""(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]{0,80}[0-9])(?=[A-Za-z0-9+/_-]{0,80}[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2}""", 0, "secret"),
-    "weak_endpoint": (r"""https?://[A-Za-z0-9.-]+(?::[0-9]+)?[^\s"'<>]*""", 0, "endpoint"),
+ENDPOINT = r"""https?://[A-Za-z0-9.-]+(?::[0-9]+)?[^\s"'<>]*"""
+Holds = Callable[[Column], Column]
+always: Holds = lambda worth: F.lit(True)
+opaque: Holds = lambda worth: worth.rlike("[0-9]") & worth.rlike("[A-Za-z]")
+#: kind: pattern, the group that `holds` looks at, its class as a part.
+STRONG: dict[str, tuple[str, int, Holds, str | None]] = {
+    "assign": (ASSIGN, 2, lambda worth: F.char_length(worth) >= 12, "secret"),
+    "access": (r"AKIA[A-Z0-9]{14,}", 0, always, "identifier"),
+    "hex": (r"[0-9a-f]{16,}", 0, always, None),
+}
+WEAK: dict[str, tuple[str, int, Holds, str | None]] = {
+    "weak_id": (r"""(?i:client_?id|user(?:name)?|account|login|tenant)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}|\bA[SG]IA[A-Z0-9]{12,}""", 0, always, "identifier"),
+    # An endpoint is taken as a whole, so that no key is found in it.
+    "weak_key": (ENDPOINT + r"""|(?<![A-Za-z0-9+/=_-])([A-Za-z0-9+/_-]{24,}={0,2})""", 1, opaque, "secret"),
+    "weak_endpoint": (ENDPOINT, 0, always, "endpoint"),
 }
 KINDS = STRONG | WEAK
 NEEDS = {"identifier": ("secret",), "endpoint": ("secret",), "secret": ("identifier", "endpoint")}
@@ -44,14 +57,13 @@ def matches(texts: DataFrame) -> DataFrame:
     """doc_id, h, kind, start, end of all matches that hold, in code points."""
 
     def of(kind: str) -> Column:
-        pattern, least, _ = KINDS[kind]
+        pattern, group, holds, _ = KINDS[kind]
         found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        worth = F.regexp_extract_all("text", F.lit(pattern), F.lit(2)) if least else F.array().cast("array<string>")
+        worth = F.regexp_extract_all("text", F.lit(pattern), F.lit(group)) if group else F.array().cast("array<string>")
         once = F.struct(found.alias("found"), worth.alias("worth"), F.split("text", pattern, -1).alias("gaps"))
 
         def length(x: Column) -> Callable[[Column, Column], Column]:
-            holds = (lambda i: F.char_length(F.get(x["worth"], i)) >= least) if least else (lambda i: F.lit(True))
-            return lambda m, i: F.struct(i.alias("i"), F.char_length(F.get(x["gaps"], i)).alias("gap"), F.char_length(m).alias("n"), holds(i).alias("ok"))
+            return lambda m, i: F.struct(i.alias("i"), F.char_length(F.get(x["gaps"], i)).alias("gap"), F.char_length(m).alias("n"), holds(F.get(x["worth"], i)).alias("ok"))
 
         lengths = let(once, lambda x: F.transform(x["found"], length(x)))
         return F.when(F.col("text").rlike(pattern), lengths)
@@ -69,23 +81,22 @@ def matches(texts: DataFrame) -> DataFrame:
 
 def linked(found: DataFrame) -> DataFrame:
     """The strong matches and the weak ones with a complementary part in their scope, one row for each span."""
-    part = F.create_map(*(F.lit(x) for k, (_, _, c) in KINDS.items() if c for x in (k, c)))
-    parts = found.withColumn("part", part[F.col("kind")]).withColumn("bin", F.floor(F.col("start") / SCOPE))
-    ends = parts.where("part is not null").groupBy("doc_id", "h", "bin").agg(
-        *(f(F.when(F.col("part") == c, F.col("start"))).alias(f"{n}_{c}") for c in NEEDS for n, f in (("least", F.min), ("most", F.max)))
-    )
-    weak = parts.where(F.col("kind").isin(*WEAK))
-    near = weak.select("*", F.explode(F.array(*(F.col("bin") + k for k in (-1, 0, 1)))).alias("other"))
-    near = near.alias("p").join(ends.alias("e"), F.col("p.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("p.h") == F.col("e.h")) & (F.col("p.other") == F.col("e.bin")))
-    within = F.lit(False)
-    for c, needs in NEEDS.items():
-        for other in needs:
-            # The nearest start of the bin after is its least, of the bin before its greatest; the same bin always holds.
-            gap = F.when(F.col("other") > F.col("p.bin"), F.col(f"least_{other}") - F.col("start")).when(F.col("other") < F.col("p.bin"), F.col("start") - F.col(f"most_{other}")).otherwise(F.col(f"least_{other}") * 0)
-            within = within | ((F.col("part") == c) & F.coalesce(gap <= SCOPE, F.lit(False)))
     columns = ["doc_id", "h", "kind", "start", "end"]
-    good = near.where(within).select(*(F.col(f"p.{c}") for c in columns)).distinct()
-    return parts.where(F.col("kind").isin(*STRONG)).select(*columns).union(good)
+    part = F.create_map(*(F.lit(x) for k, (*_, c) in KINDS.items() if c for x in (k, c)))
+    parts = found.withColumn("part", part[F.col("kind")])
+    here = lambda at: F.floor(at / BIN)
+    start, end = F.col("start").cast("long"), F.col("end").cast("long")
+    # Backwards (way 0) a part stands at its end and says its start; forwards (way 1) all signs are turned round.
+    event = lambda asks, way, at, says: F.struct(F.lit(asks).alias("asks"), F.lit(way).alias("way"), at.alias("at"), says.alias("says"))
+    ways = lambda asks, a, z, says: F.array(event(asks, 0, a, says), event(asks, 1, -z, -says))
+    offered = parts.where("part is not null").select(*columns, "part", F.explode(F.array_distinct(F.array(here(start - SCOPE), here(start + SCOPE)))).alias("bin"), ways(False, end, start, start).alias("e"))
+    asked = parts.where(F.col("kind").isin(*WEAK)).select(*columns, "part", here(start).alias("bin"), ways(True, start, end, start).alias("e"))
+    events = offered.union(asked).select(*columns, "part", "bin", F.explode("e").alias("e")).select(*columns, "part", "bin", "e.*")
+    upto = Window.partitionBy("doc_id", "h", "bin", "way").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    for c in NEEDS:
+        events = events.withColumn(f"last_{c}", F.max(F.when(~F.col("asks") & (F.col("part") == c), F.col("says"))).over(upto))
+    within = reduce(Column.__or__, ((F.col("part") == c) & F.coalesce(F.col("says") - F.col(f"last_{other}") <= SCOPE, F.lit(False)) for c, needs in NEEDS.items() for other in needs))
+    return parts.where(F.col("kind").isin(*STRONG)).select(*columns).union(events.where(F.col("asks") & within).select(*columns).distinct())
 
 
 def spans(docs: DataFrame) -> DataFrame:
