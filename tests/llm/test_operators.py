@@ -152,45 +152,74 @@ def test_components(spark):
 
 
 def test_sentence_spans(spark):
-    passage = "The first one stands here. And a second follows it closely! Does a third come too? It does. "
+    passage = "The first one stands here and it is not too short. And a second follows it closely, with more words! Does a third come too? It does, in the end. "
     rows = [(1, "Alone at first. " + passage + "The end of it."), (2, "Other words before. " + passage + "Some more."), (3, None), (4, "Nothing. To. See."), (2, "Other words before. " + passage + "Some more."), (None, passage)]
     got = sorted(map(tuple, sentence_spans.span_report(table(spark, rows)).collect()), key=str)
     by = {r[0]: r for r in got}
-    assert by[1][2] == 0 and by[2][2] == 4 and by[4][2] == 0 and by[None][2] == 4 and len(got) == 6
+    assert by[1][2] == 0 and by[2][2] == 6 and by[4][2] == 0 and by[None][2] == 6 and len(got) == 6
     left = sentence_spans.without_repeats(table(spark, rows))
     assert {r.text for r in left.where("doc_id = 2").collect()} == {"Other words before. Some more."} and left.columns == ["doc_id", "text", *CLASH]
-
-
-def test_sentence_spans_of_two_sentences(spark):
-    rng = random.Random(8)
-    some = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 10**6)) for _ in range(n))
-    two = f"{some(22)}. {some(26)}."
-    passage = f"{some(3)}. {two} {some(4)}"  # cut in mid-sentence at both ends
-    short = f"{some(4)}. {some(5)}. {some(2)}. {some(16)}."  # its last but one sentence has too few words after it
-    copy = some(20) + "."
-    rows = [(1, f"{some(9)} {passage} {some(7)}."), (2, f"{some(8)} {passage} {some(5)}."), (3, copy), (4, copy), (5, f"{some(6)}. {short} {some(6)}."), (6, f"{some(7)}. {short} {some(5)}."), (7, f"{copy} {some(3)}. {copy} {copy}")]
-    left = {r.doc_id: r.text for r in sentence_spans.without_repeats(table(spark, rows)).collect()}
-    assert all(left[d] == t for d, t in rows if d in (1, 3, 5)) and left[4] == ""
-    assert left[2] == rows[1][1].replace(two + " ", "") and left[6] == rows[5][1].replace(short + " ", "") and copy not in left[7]
-    kept = {r.doc_id: r.n_removed for r in sentence_spans.span_report(table(spark, rows)).collect()}
-    assert kept == {1: 0, 2: 2, 3: 0, 4: 1, 5: 0, 6: 4, 7: 3}
+    assert {r.text for r in left.where("doc_id = 3").collect()} == {None}
+
+
+def sentence_runs(text, longest):
+    """The sentences of a text as lists of words."""
+    out, run = [], []
+    for line in (text or "").split("\n"):
+        for w in WORD.findall(line):
+            run.append(w)
+            if w[-1] in ".!?,;:" or len(run) == longest:
+                out.append(run)
+                run = []
+        if run:
+            out.append(run)
+            run = []
+    return out
+
+
+def all_runs(rows, words, longest):
+    """n_removed by doc_id: sentences inside any run of sentences with `words` words that stood before."""
+    seen, gone = set(), {}
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        parts = sentence_runs(t, longest)
+        hit = set()
+        for a in range(len(parts)):
+            for b in range(a + 1, len(parts) + 1):
+                run = tuple(w for p in parts[a:b] for w in p)
+                if len(run) >= words:
+                    hit |= set(range(a, b)) if run in seen else set()
+                    seen.add(run)
+        gone[d] = len(hit)
+    return gone
 
 
 def test_sentence_spans_against_all_runs(spark):
     rng = random.Random(12)
-    pool = [" ".join(rng.choice("pqrs") + str(rng.randint(0, 99)) for _ in range(rng.choice([1, 2, 4, 7, 11, 16]))) + "." for _ in range(25)]
-    rows = [(d, " ".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for d in range(60)]
-    split = {d: re.findall(r"[^.]+\.", t) for d, t in rows}
-    seen, gone = set(), {d: set() for d in split}
-    for d, parts in sorted(split.items()):
-        for a in range(len(parts)):
-            for b in range(a + 1, len(parts) + 1):
-                run = " ".join(parts[a:b]).split()
-                if len(run) >= 15 or (b - a >= 3 and len(run) >= 10):
-                    gone[d] |= set(range(a, b)) if tuple(run) in seen else set()
-                    seen.add(tuple(run))
+    pool = [" ".join(rng.choice("pqrs") + str(rng.randint(0, 99)) for _ in range(rng.choice([1, 2, 4, 7, 11, 16, 30]))) + rng.choice(".,;!:?\n") for _ in range(25)]
+    rows = [(d, " ".join(rng.choice(pool) for _ in range(rng.randint(1, 14)))) for d in range(60)] + [(80, None), (81, ""), (82, " \n "), (83, "la " * 90), (84, "So: " + "la " * 70)]
+    for words, longest in ((25, 24), (12, 9)):
+        want = all_runs(rows, words, longest)
+        got = {r.doc_id: r.n_removed for r in sentence_spans.span_report(table(spark, rows), words, longest).collect()}
+        assert got == want and sum(map(bool, want.values())) > 20 and want[84]
+
+
+def test_passages_cut_in_mid_sentence(spark):
+    rng = random.Random(8)
+    some = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 10**6)) for _ in range(n))
+    rows, n = [], 0
+    for n_words in (52, 60, 75):
+        for cuts in ((), (30,), (10, 25, 40)):
+            w = some(n_words).split()
+            for c in cuts:
+                w[c] += "."
+            passage = " ".join(w)
+            rows += [(n, f"{some(9)} {passage} {some(7)}."), (n + 1, f"{some(8)}. {some(4)} {passage} {some(5)}.")]
+            n += 2
+    rows.append((n, some(300)))
     got = {r.doc_id: r.n_removed for r in sentence_spans.span_report(table(spark, rows)).collect()}
-    assert got == {d: len(g) for d, g in gone.items()} and any(gone.values())
+    caught = [d for d in range(1, n, 2) if got[d]]
+    assert not any(got[d] for d in range(0, n + 1, 2)) and len(caught) >= 3  # one sentence alone, cut at other places, is not seen
+    assert sentence_spans.span_report(table(spark, [(1, "x"), (2, rows[-1][1] * 9), (3, rows[-1][1] * 9)])).where("n_removed > 0").count() == 1
 
 
 def test_byte_bpe(spark, rows):
@@ -236,6 +265,32 @@ def test_secret_scan(spark):
     assert clean[0] == "😀 [secret]' and Token:shorty" and clean[4] is None and clean[7] == texts[7]
 
 
+def linked_spans(text):
+    """All spans of a text by comparing every two parts."""
+    patterns = {k: (re.compile(p.replace("(?i:(password|passwd|secret|token|api_?key))", "((?i:password|passwd|secret|token|api_?key))")), g, c) for k, (p, g, _, c) in secret_scan.KINDS.items()}
+    good = {"assign": lambda w: len(w) >= 12, "weak_key": lambda w: re.search("[0-9]", w or "") and re.search("[A-Za-z]", w)}
+    parts = [(m.start(), m.end(), k, c) for k, (p, g, c) in patterns.items() for m in p.finditer(text) if k not in good or good[k](m[g])]
+    out = [p for p in parts if p[2] in secret_scan.STRONG]
+    for a, z, k, c in parts:
+        if k in secret_scan.WEAK and any(o in secret_scan.NEEDS[c] and abs(b - a) <= secret_scan.SCOPE and (y <= a or b >= z) for b, y, _, o in parts):
+            out.append((a, z, k, c))
+    order = list(secret_scan.KINDS)
+    return ",".join(f"{k}:{a}:{z}" for a, z, k, _ in sorted(out, key=lambda p: (p[0], order.index(p[2]), p[1])))
+
+
+def test_secret_links_against_all_pairs(spark):
+    rng = random.Random(11)
+    key = lambda: "".join(rng.choice("abcdefXYZ0123456789") for _ in range(rng.choice([24, 30, 120])))
+    make = [lambda: f"user={rng.choice(['bob', 'amy'])}", lambda: f"https://x{rng.randint(0, 9)}.example/{rng.choice(['', 'blog/2024/some-long-title-here', key()])}", key, lambda: f"password: {key()}", lambda: "AKIA" + "".join(rng.choice("ABC123") for _ in range(16)), lambda: "é" * rng.randint(1, 300), lambda: "word " * rng.randint(1, 90)]
+    texts = [" ".join(rng.choice(make)() for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    texts += ["See https://www.example.com/blog/2024/some-long-title-here for more.", "x" * 81 + "1" + "y" * 10 + " user=bob", "x" * 30 + "1" + "y" * 10 + " user=bob", "https://a.example/blog/2024/some-long-title-here https://b.example/blog/2023/another-long-title-here"]
+    texts.append(" ".join(f"user=u{i} " + "z" * rng.randint(200, 500) + " " + key() for i in range(60)))
+    got = {r.doc_id: r.spans for r in secret_scan.secret_report(table(spark, list(enumerate(texts)))).collect()}
+    want = {i: linked_spans(t) for i, t in enumerate(texts)}
+    assert got == want
+    assert got[200] == got[203] == "" and "weak_key" in got[201] and "weak_key" in got[202] and sum("weak" in v for v in want.values()) > 100
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     bad = ["vile", "rotten"]
