@@ -314,6 +314,37 @@ def test_toxicity(spark):
     other = lab.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert {(r.doc_id, r.score) for r in toxicity.toxicity(table(spark, rows), other).collect()} == {(r.doc_id, r.score) for r in got}
     assert {r.score for r in toxicity.toxicity(table(spark, rows[:5]), lab.where("toxic = 0")).collect()} == {0.0}
+    # Nor do negative labels; a bound on toxic rows is one, and repeated rows score alike.
+    assert {(r.doc_id, r.score) for r in toxicity.toxicity(table(spark, rows), lab.where("toxic = 1")).collect()} == {(r.doc_id, r.score) for r in got}
+    twice = toxicity.toxicity(table(spark, rows + rows[50:60]), lab, max_labelled=20).collect()
+    assert len(twice) == len(rows) + 10 and all(len({r.score for r in twice if r.doc_id == d}) == 1 for d, _ in rows[50:60])
+
+
+def test_toxicity_of_empty_tables(spark):
+    lab = spark.createDataFrame([(1, 1), (2, None), (None, 1), (1, 1)], "doc_id long, toxic int")
+    assert toxicity.toxicity(table(spark, []), lab).count() == 0
+    docs = table(spark, [(1, "a bad word"), (2, "x"), (None, None)])
+    assert {r.score for r in toxicity.toxicity(docs, lab.limit(0)).collect()} == {0.0}
+    assert all(0 <= r.score <= 1 for r in toxicity.toxicity(docs, lab).collect())
+    long = table(spark, [(1, "bad " * 2_000_000), (3, "good " * 50), (4, "good"), (5, "bad"), (6, "x " * 3_000_000)])
+    labels = spark.createDataFrame([(d, 1) for d in range(1, 6)], "doc_id long, toxic int")
+    assert toxicity.toxicity(long, labels).count() == 5
+
+
+def test_moments_are_those_of_the_rows(spark):
+    rng = np.random.default_rng(2)
+    lists = [np.flatnonzero(rng.random(6) < 0.4).astype("<u2") for _ in range(50)]
+    rows = spark.createDataFrame([(i % 3 - 1, bytearray(x.tobytes())) for i, x in enumerate(lists)], "part int, ids binary").repartition(4)
+    x = np.zeros((50, 7))
+    x[:, -1] = 1
+    for i, own in enumerate(lists):
+        x[i, own] = 1
+    got = toxicity.moments(rows, 6)
+    assert all((got[p].sums == x[np.arange(50) % 3 - 1 == p].T @ x[np.arange(50) % 3 - 1 == p]).all() for p in (-1, 0, 1))
+    w = rng.normal(size=7)
+    assert np.isclose(got[0].loss(w, -1), ((1 + x[1::3] @ w) ** 2 / 4).mean())
+    edges = np.linspace(-1, 1, 9)
+    assert (toxicity.binned(rows, w, edges) == np.bincount(np.maximum(np.searchsorted(edges, x @ w, "right") - 1, 0), minlength=9)).all()
 
 
 def weighted(a, b, size=5):
