@@ -73,16 +73,28 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     at = new_folder(df.sparkSession)
     df.write.option("compression", compression).parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._written_to = at
+    return out
+
+
+def remove(df: DataFrame) -> None:
+    """Removes a table that `written` gave and nothing reads any more."""
+    at = df._written_to
+    _tables.remove(at)
+    delete(df.sparkSession, at)
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear(spark: SparkSession) -> int:
     """Removes the intermediate tables that this driver wrote, once the results that read them are stored; how many."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
     n = len(_tables)
     while _tables:
-        at = path(_tables.pop())
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(spark, _tables.pop())
     return n
 
 

@@ -145,6 +145,53 @@ def test_large_node_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, docs)).collect()} == want
 
 
+def linked_sets(sets):
+    """The smallest reachable id of each id, all pairs compared."""
+    names = sorted(sets)
+    label = {d: d for d in names}
+    for i, a in enumerate(names):
+        for b in names[i + 1 :]:
+            if label[a] != label[b] and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+def test_one_doc_id_with_two_texts(spark):
+    """Each text of a number links, and what they link to is one group."""
+    rng = random.Random(21)
+    rows, want = [], {}
+    for i in range(12):
+        one, two = prose(rng, 90, 10**6), prose(rng, 90, 10**6)
+        d = 100 + i
+        near = [" ".join(t.split()[:-1] + ["other"]) for t in (one, two)]
+        rows += [(d, one), (d, two), (200 + i, near[0]), (i if i % 2 else 300 + i, near[1])]
+        want |= dict.fromkeys((d, 200 + i, i if i % 2 else 300 + i), i if i % 2 else d)
+    got = near_dedup.near_duplicates(table(spark, rows)).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_clouds_without_a_centre(spark, monkeypatch):
+    """A node of many members, some linked in chains only, most to nothing; blocks and deeper nodes are used."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(150)]
+    docs, now = [], list(base)
+    for i in range(60):  # a chain: neighbours link, ends don't
+        now[(7 * i) % 150] = f"c{i}"
+        docs.append((i, " ".join(now)))
+    for i in range(60, 130):  # a cloud: near the base, far from each other
+        w = list(base)
+        for k in rng.sample(range(150), rng.choice([3, 6, 8])):
+            w[k] = f"n{i}_{k}"
+        docs.append((i, " ".join(w)))
+    sets = {d: shingle_set(t, 4) for d, t in docs}
+    want = linked_sets(sets)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, docs)).collect()} == want
+    monkeypatch.setattr(near_dedup, "BLOCK", 40)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, docs)).collect()} == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 101), (101, 100)]
     got = {r.id: r.label for r in components.connected(spark.createDataFrame(chain, "a long, b long")).collect()}
