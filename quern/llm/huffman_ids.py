@@ -11,7 +11,8 @@ marks (uint64, bit offsets), before (ids of the part's blocks before). The code
 
 Tokenising follows the words: a text's ids are the ids of its white-space-separated words one after another,
 since the tokenizer's normaliser and splitter never act across ASCII white space. So each distinct word of a batch
-is encoded once by the library and the ids are gathered; words are told apart by their bytes, a hash only finds them.
+is encoded once by the library and the ids are gathered; where the tokenizer allows, case is folded and marks
+are taken off first. Words are told apart by their bytes, a hash only finds them.
 
 Defined results: a null or empty text has the end id alone; ties of doc_id are laid out in the order of their ids' crc32, then of the ids;
 a null doc_id comes first; an empty table gives empty files and an empty result; other columns are ignored.
@@ -19,6 +20,7 @@ a null doc_id comes first; an empty table gives empty files and an empty result;
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,10 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .base import distinct_ranges, docs_only, new_folder, range_hashes, same_ranges, slices, text_of, tuned, words_of, written
+from .base import LOWER, distinct_ranges, docs_only, new_folder, range_hashes, same_ranges, slices, text_of, tuned, words_of, written
 
 VOCABULARY, END = "word_bpe_49k.json", 1
 MAX_BITS, CHECKPOINT, BLOCK_IDS = 20, 512, 1 << 18
+LETTER, MARK = np.zeros((2, 256), bool)
+LETTER[97:123] = True
+MARK[list(b".,;:!?")] = True
+#: Words that are encoded as one text.
+JOINED = 2048
 
 
 @lru_cache(2)
@@ -45,6 +52,45 @@ def tokenizer(path: str) -> Tokenizer:
     return t
 
 
+@lru_cache(2)
+def splits_at_marks(path: str) -> bool:
+    """Whether the tokenizer folds case and always parts an ASCII letter from a mark after it: then words are taken in lower
+    case and without their marks, and fewer are distinct."""
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    folds = [n.get("type") for n in (parts["normalizer"] or {}).get("normalizers", [])]
+    split = [p.get("pattern", {}).get("Regex") for p in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    return folds == ["NFC", "Replace", "Lowercase"] and split == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", None]
+
+
+@lru_cache(2)
+def separating(path: str) -> tuple[Tokenizer, str, int, list[bytes]]:
+    """A tokenizer that splits a text at its special tokens before anything else; one of them, its id, and all of them."""
+    t = Tokenizer.from_file(path)
+    special = sorted((i, a.content) for i, a in t.get_added_tokens_decoder().items() if a.special and not (a.normalized or a.lstrip or a.rstrip or a.single_word))
+    every = [a.content.encode() for a in t.get_added_tokens_decoder().values()]
+    return (t, special[-1][1], special[-1][0], every) if special else (t, "", -1, every)
+
+
+def ids_of(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words one after another, and their number for each word. Many words make one text, with a special
+    token between them that the tokenizer never joins with its neighbours; words that hold such a token's string go singly."""
+    t, mark, number, special = separating(path)
+    plain = mark and not any(s in b"\n".join(words) for s in special)
+    if not plain:
+        pieces = [e.ids for e in tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        return np.fromiter(chain.from_iterable(pieces), np.uint32, int(size.sum())), size
+    ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for k in range(0, len(words), JOINED):
+        text = mark.encode().join(words[k : k + JOINED]).decode("utf-8", "replace")
+        got = np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.concatenate([[-1], np.flatnonzero(got == number), [len(got)]])
+        ids.append(got[got != number])
+        sizes.append(np.diff(at) - 1)
+    return np.concatenate(ids), np.concatenate(sizes)
+
+
 class Words:
     """The ids of the words seen by this Python worker, found by the words' hashes and held against their bytes; forgotten when
     there are too many."""
@@ -73,11 +119,11 @@ class Words:
         place[known], size[known] = self.at[at[known]], self.size[at[known]]
 
         new = np.flatnonzero(~known)
-        words = [data[a:b].tobytes() for a, b in zip(starts[new].tolist(), ends[new].tolist())]
-        pieces = [e.ids for e in tokenizer(path).encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        size[new] = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw = data.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())]
+        flat, size[new] = ids_of(words, path)
         place[new] = len(self.ids) + np.cumsum(size[new]) - size[new]
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(pieces), np.uint32, int(size[new].sum()))])
+        self.ids = np.concatenate([self.ids, flat])
         begin = len(self.raw) + np.cumsum(length[new]) - length[new]
         self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(words), np.uint8)])
         # A hash names one word here; others of that hash are encoded whenever they come.
@@ -95,6 +141,14 @@ _words: dict[str, Words] = {}
 def encode_rows(data: np.ndarray, at: np.ndarray, path: str, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all rows, each closed with `end`, and the rows' offsets among them."""
     starts, ends, words_at = words_of(data, at)
+    if splits_at_marks(path):
+        data = LOWER[data]
+        mark = np.zeros(len(data), bool)
+        mark[1:] = LETTER[data[:-1]] & MARK[data[1:]]
+        mark[at[:-1][at[:-1] < len(data)]] = False
+        cuts = np.flatnonzero(mark)
+        starts, ends = np.sort(np.append(starts, cuts)), np.sort(np.append(ends, cuts))
+        words_at = np.searchsorted(starts, at)
     first, which = distinct_ranges(data, starts, ends)
     words = _words.setdefault(path, Words())
     place, size = words.look_up(data, starts[first], ends[first], path)

@@ -90,6 +90,31 @@ def test_words_are_forgotten_and_found_again(monkeypatch):
         assert zlib.crc32(ids.astype("<u4").tobytes()) == zlib.crc32(np.asarray([*t.encode(text.decode(), add_special_tokens=False).ids, 1], "<u4").tobytes())
 
 
+def test_words_encoded_together():
+    path = huffman_ids.public_tokenizers.path(huffman_ids.VOCABULARY)
+    t = huffman_ids.tokenizer(path)
+    rng = random.Random(4)
+    letters = ["a", "B", "é", "e\u0301", "'s", "don't", "<|", "|>", "<", "12", "\U0001f600", "\u00a0", "\u3000", "!?", "\u0130"]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))).encode() for _ in range(5000)]
+    for some in (words, [*words[:50], b"x<|endoftext|>y", b"<|startoftext|>"], [b"<|endoftext|", b"|endoftext|>"], []):
+        ids, size = huffman_ids.ids_of(some, path)
+        at = np.concatenate([[0], np.cumsum(size)])
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [t.encode(w.decode(), add_special_tokens=False).ids for w in some]
+
+
+def test_rows_of_marks_and_cases():
+    path = huffman_ids.public_tokenizers.path(huffman_ids.VOCABULARY)
+    assert huffman_ids.splits_at_marks(path)
+    t = huffman_ids.tokenizer(path)
+    rng = random.Random(7)
+    letters = ["a", "B", "z", "é", "e\u0301", "\u0301", "\u0338", "'s", "'", "don't", ".", ",", "!?", ";", ":", "<", "=", "1", " ", "\n", "\u00a0", "\u0130", "\u212a", "Ǆ", "ß"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [".", "a", ".b", "", "a."]
+    raw = [x.encode() for x in texts]
+    ids, at = huffman_ids.encode_rows(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in raw])]), path, 1)
+    for x, a, b in zip(texts, at, at[1:]):
+        assert ids[a:b].tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], x
+
+
 def test_rolling_runs(spark):
     rng = np.random.default_rng(0)
     words = rng.integers(0, 4, 400).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
