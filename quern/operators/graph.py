@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,55 +11,62 @@ from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder the cluster shares; one of our own only where none is set."""
+    """A checkpoint in the folder the cluster shares; one of our own only where none is set and all runs on one machine."""
     context = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quern-"))
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    if not context.getCheckpointDir():
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="quern-"))
     return df.checkpoint()
 
 
+def together(parts: list[DataFrame]) -> DataFrame:
+    """The rounds' rows as one frame; nothing that was found before is written anew."""
+    return reduce(DataFrame.union, parts)
+
+
 def closure(seeds: DataFrame, edges: DataFrame, depth: int | None = None, emit_root: bool = False) -> DataFrame:
     """root, id, depth of everything reached from each seed over edges (src, dst), with the least number of steps.
 
     seeds has `id`. With emit_root, a seed that closes a cycle is returned once as reached from itself, though not
     expanded again (calls); without, it is never returned (hierarchies). Ends at depth or when nothing new is found.
+    Each round writes its new rows alone; what was seen is the union of the rounds.
     """
     edges = edges.select("src", "dst").distinct()
-    start = seeds.select(F.col("id").alias("root"), "id").distinct()
-    seen = cut_lineage(start.withColumn("depth", F.lit(0)))
-    frontier, step = seen, 0
+    start = cut_lineage(seeds.select(F.col("id").alias("root"), "id").distinct().withColumn("depth", F.lit(0)))
+    rounds, frontier, step = [start], start, 0
     while depth is None or step < depth:
         step += 1
         found = frontier.join(edges, frontier["id"] == edges["src"]).select("root", F.col("dst").alias("id")).distinct()
-        old = seen.where((F.col("depth") > 0) | F.lit(not emit_root)).select("root", "id")
-        frontier = cut_lineage(found.join(old, ["root", "id"], "left_anti").withColumn("depth", F.lit(step)))
-        if frontier.isEmpty():
+        old = rounds[1:] if emit_root else rounds
+        if old:
+            found = found.join(together(old).select("root", "id"), ["root", "id"], "left_anti")
+        new = cut_lineage(found.withColumn("depth", F.lit(step)))
+        if new.isEmpty():
             break
-        seen = cut_lineage(seen.union(frontier))
+        rounds.append(new)
         # A root that was reached again is emitted, not expanded.
-        frontier = frontier.where(F.col("root") != F.col("id"))
-    return seen.where("depth > 0")
+        frontier = new.where(F.col("root") != F.col("id"))
+    return together(rounds[1:]) if len(rounds) > 1 else start.where("depth > 0")
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     """label, id, depth: labels spread along the edges from (label, id); blocked (label, id) are neither entered nor left."""
     walk = edges.select("src", "dst").distinct()
-    step = 0
     frontier = seeds.select("label", "id").distinct()
     if blocked is not None:
         frontier = frontier.join(blocked, ["label", "id"], "left_anti")
-    seen = frontier = cut_lineage(frontier.withColumn("depth", F.lit(0)))
+    frontier = cut_lineage(frontier.withColumn("depth", F.lit(0)))
+    rounds = [frontier]
     while True:
-        step += 1
         found = frontier.join(walk, frontier["id"] == walk["src"]).select("label", F.col("dst").alias("id")).distinct()
         if blocked is not None:
             found = found.join(blocked, ["label", "id"], "left_anti")
-        frontier = cut_lineage(found.join(seen, ["label", "id"], "left_anti").withColumn("depth", F.lit(step)))
+        frontier = cut_lineage(found.join(together(rounds).select("label", "id"), ["label", "id"], "left_anti").withColumn("depth", F.lit(len(rounds))))
         if frontier.isEmpty():
-            return seen
-        seen = cut_lineage(seen.union(frontier))
+            return together(rounds)
+        rounds.append(frontier)
 
 
 def rewrite_chase(starts: DataFrame, rules: DataFrame, bound: int) -> DataFrame:
@@ -78,15 +86,16 @@ def rewrite_chase(starts: DataFrame, rules: DataFrame, bound: int) -> DataFrame:
 
 def shortest_paths(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """root, id, path: a shortest path, the least one in the order of its nodes."""
-    best = seeds.select(F.col("id").alias("root"), "id", F.array("id").alias("path")).distinct()
-    frontier = best = cut_lineage(best)
+    frontier = cut_lineage(seeds.select(F.col("id").alias("root"), "id", F.array("id").alias("path")).distinct())
+    rounds = [frontier]
     for _ in range(depth):
+        best = together(rounds)
         found = frontier.join(edges, frontier["id"] == edges["src"]).select("root", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         frontier = cut_lineage(found.join(best.select("root", "id"), ["root", "id"], "left_anti").groupBy("root", "id").agg(F.min("path").alias("path")))
         if frontier.isEmpty():
             break
-        best = cut_lineage(best.union(frontier))
-    return best
+        rounds.append(frontier)
+    return together(rounds)
 
 
 def dominators(entry: int, edges: list[tuple[int, int]]) -> dict[int, set[int]]:
@@ -166,42 +175,49 @@ def reaching(entry: int, edges: list[tuple[int, int]], events: list[tuple[int, s
 
 def flow_relations(points: DataFrame, edges: DataFrame, events: DataFrame) -> DataFrame:
     """procedure, relation, subject, source, target, certainty: reaching and dominating establishments of each read.
+    points: procedure, point, boundary; edges: procedure, src, dst; events: procedure, point, event, subject.
 
-    A procedure's graph is one group: it is bounded by the size of a source function, not by the corpus."""
+    A procedure's graph is one row: it is bounded by the size of a source function, not by the corpus."""
+    kind = points.schema["procedure"].dataType.simpleString()
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        listed = lambda c: [] if pdf[c].iloc[0] is None else list(pdf[c].iloc[0])
-        own = [(int(a), int(b)) for a, b in listed("edges")]
-        seen = [(e["point"], e["event"], e["subject"]) for e in listed("events")]
-        entry = int(pdf.entry.iloc[0])
+    def solve(entry: int, own: list, seen: list) -> set[tuple]:
         dom = dominators(entry, own)
-        out, reach = [], reaching(entry, own, seen)
+        out, reach = set(), reaching(entry, own, seen)
         for s, d, p in reach:
             single = sum(1 for t, _, q in reach if (t, q) == (s, p)) == 1
-            out.append(("reaching", s, d, p, "exact" if single and d in dom.get(p, ()) else "may"))
+            out.add(("reaching", s, d, p, "exact" if single and d in dom.get(p, ()) else "may"))
         for p, c, s in seen:
             for q, k, t in seen:
-                if c == "read" and k == "establish" and s == t and q in dom.get(p, ()):
-                    out.append(("dominates", s, q, p, "exact"))
-                if c == "read" and k == "establish" and s == t and q == p:
-                    out.append(("same_evaluation", s, q, p, "exact"))
-        frame = pd.DataFrame(out, columns=["relation", "subject", "source", "target", "certainty"])
-        frame.insert(0, "procedure", pdf.procedure.iloc[0])
-        return frame.drop_duplicates()
+                if c == "read" and k == "establish" and s == t:
+                    if q in dom.get(p, ()):
+                        out.add(("dominates", s, q, p, "exact"))
+                    if q == p:
+                        out.add(("same_evaluation", s, q, p, "exact"))
+        return out
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for procedure, entry, own, seen in zip(pdf["procedure"], pdf["entry"], pdf["edges"], pdf["events"]):
+                own = [] if own is None else [(int(a), int(b)) for a, b in own]
+                seen = [] if seen is None else [(e["point"], e["event"], e["subject"]) for e in seen]
+                rows += [(procedure, *r) for r in sorted(solve(int(entry), own, seen))]
+            yield pd.DataFrame(rows, columns=["procedure", "relation", "subject", "source", "target", "certainty"])
 
     packed = (
         points.where("boundary = 'entry'").groupBy("procedure").agg(F.min("point").alias("entry"))
         .join(edges.groupBy("procedure").agg(F.collect_list(F.array("src", "dst")).alias("edges")), "procedure", "left")
-        .join(events.groupBy("procedure").agg(F.collect_list(F.struct("point", "event", "subject")).alias("events")), "procedure", "left")
+        .join(events.groupBy("procedure").agg(F.array_sort(F.collect_list(F.struct("point", "event", "subject"))).alias("events")), "procedure", "left")
     )
-    return packed.groupBy("procedure").applyInPandas(solve, "procedure string, relation string, subject string, source long, target long, certainty string")
+    return packed.mapInPandas(run, f"procedure {kind}, relation string, subject string, source long, target long, certainty string")
 
 
 def page_rank(spark: SparkSession, edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """id, rank after a fixed number of rounds; dangling nodes give nothing on."""
     nodes = cut_lineage(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
     n = nodes.count()
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    edges = cut_lineage(edges.select("src", "dst"))
+    degree = cut_lineage(edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")))
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for k in range(rounds):
         given = edges.join(ranks, edges["src"] == ranks["id"]).join(degree, "src").groupBy("dst").agg(F.sum(F.col("rank") / F.col("degree")).alias("given"))

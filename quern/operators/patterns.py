@@ -107,9 +107,38 @@ def matching(pattern: dict, nodes: DataFrame, roles: DataFrame) -> DataFrame:
         out = out.join(nearest, at, "left_semi")
     if "capture" in pattern:
         out = out.withColumn(f"capture_{pattern['capture']}", F.coalesce("text", "name"))
+    # A name captured more than once is one value: the places' values are joined on it, the node's own among them.
+    for name, parts in captures(pattern).items():
+        seen = [captured(p, nodes, roles.where(where)) for p, where in parts]
+        own_column = f"capture_{name}"
+        same = reduce(lambda a, b: a.join(b, [*at, "_v"]), seen)
+        if pattern.get("capture") == name:
+            out = out.join(same.withColumnRenamed("_v", own_column), [*at, own_column], "left_semi")
+        else:
+            out = out.join(same.groupBy(*at).agg(F.min("_v").alias(own_column)), at)
     return out
 
 
+def captures(pattern: dict) -> dict[str, list[tuple[dict, Column]]]:
+    """For each name that the pattern's roles, arguments and decorators capture: their patterns and role edges."""
+    role = F.col("role")
+    parts = [(pattern[r], role == r) for r in SINGLE_ROLES if r in pattern] + [(p, role == "args") for p in pattern.get("args", [])] + [(p, role == "decorators") for p in pattern.get("decorators", [])]
+    parts += [(p, (role == "kwargs") & (F.col("keyword") == word)) for word, p in pattern.get("kwargs", {}).items()]
+    out: dict[str, list[tuple[dict, Column]]] = {}
+    for p, where in parts:
+        if "capture" in p:
+            out.setdefault(p["capture"], []).append((p, where))
+    return out
+
+
+def captured(pattern: dict, nodes: DataFrame, roles: DataFrame) -> DataFrame:
+    """path, node_id and the values (_v) that the role edges' targets give to a capture."""
+    hits = role_hits(pattern, nodes, roles)
+    of = nodes.select(F.col("path").alias("_p"), F.col("node_id").alias("_t"), F.coalesce("text", "name").alias("_w"))
+    both = hits.join(of, (F.col("path") == F.col("_p")) & (F.col("target_node") == F.col("_t")), "left")
+    return both.select("path", "node_id", F.coalesce("_w", "name").alias("_v")).distinct()
+
+
 def nearest_ancestor(nodes: DataFrame, pattern: dict, around: DataFrame, roles: DataFrame) -> DataFrame:
     """around's rows with `ancestor`, the node number of their nearest matching strict ancestor."""
     hit = matching(pattern, nodes, roles).select(F.col("path").alias("_p"), F.col("node_id").alias("ancestor"), F.col("subtree_end").alias("_e"))

@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.registry import REGISTRY
 from ..schema import PlanError, checked
-from . import graph, joins
+from . import graph, joins, reports
 
 Facts = Mapping[str, DataFrame]
 Apply = Callable[[DataFrame, Facts, dict], DataFrame]
@@ -31,6 +32,7 @@ class Step:
 
 
 STEPS: dict[str, Step] = {}
+FLOW = {"relation": "flow_relation", "certainty": "certainty"}
 
 
 def declare(name: str, takes: str, gives: str, apply: Apply, /, **options: str | None) -> None:
@@ -147,7 +149,7 @@ def one_each(table: str, key: str, default: str, value: str = "unknown") -> Appl
     def apply(rows: DataFrame, facts: Facts, given: dict) -> DataFrame:
         t = facts[table]
         both = rows.alias("r").join(t.alias("t"), F.col("r.id") == F.col(f"t.`{key}`"), "left")
-        cols = [F.coalesce(F.col(f"t.`{c}`"), F.lit(value)).alias(c) if c == default else F.coalesce(F.col("t.id"), F.concat_ws("#", F.col("r.id").cast("string"), F.lit(table))).alias("id") if c == "id" else F.coalesce(F.col(f"t.`{c}`"), F.col("r.id")).alias(c) if c == key else F.col(f"t.`{c}`").alias(c) for c in t.columns]
+        cols = [F.coalesce(F.col(f"t.`{c}`"), F.lit(value)).alias(c) if c == default else F.coalesce(F.col("t.id").cast("string"), F.concat_ws("#", F.col("r.id").cast("string"), F.lit(table))).alias("id") if c == "id" else F.coalesce(F.col(f"t.`{c}`"), F.col("r.id")).alias(c) if c == key else F.col(f"t.`{c}`").alias(c) for c in t.columns]
         return both.select(*cols, F.col("r.ord").alias("ord"))
 
     return apply
@@ -212,6 +214,93 @@ def procedure_effects(rows: DataFrame, facts: Facts, given: dict) -> DataFrame:
     return hops.join(rows.select(F.col("id").alias("root"), "path", "ord"), "root").select(F.concat_ws("#", F.col("root").cast("string"), "effect_id").alias("id"), "path", F.col("root").alias("procedure_id"), "effect_id", "depth", (F.col("depth") > 1).alias("transitive"), "ord")
 
 
+def of_rows(rows: DataFrame, table: DataFrame, key: str = "procedure_id") -> DataFrame:
+    """The table's rows that belong to the rows' ids."""
+    return table.join(rows.select(F.col("id").alias("_own")).distinct(), F.col(key) == F.col("_own"), "left_semi")
+
+
+def typestate(rows: DataFrame, facts: Facts, given: dict) -> DataFrame:
+    """What a registered protocol finds wrong in the procedures: errors on the way, or an end in no accepting state. Ready
+    findings are looked up where there is a table of them."""
+    if "typestate_findings" in facts:
+        return equi("typestate_findings", "id", "procedure_id", protocol=None)(rows, facts, given)
+    p = REGISTRY.find("protocols", given.get("protocol"))
+    own = of_rows(rows, facts["state_events"])
+    runs = reports.protocol_run(own, "procedure_id", ["point", "id"], "event", dict(p.transitions), p.initial, list(p.accepting), list(p.errors)).where("violations > 0 or ended_badly")
+    seen = own.groupBy("procedure_id").agg(F.array_sort(F.collect_list(F.struct("point", F.col("id").alias("event_id"), "event"))).alias("witness"))
+    found = rows.select(F.col("id").alias("procedure_id"), "path", "ord").join(runs, "procedure_id").join(seen, "procedure_id")
+    return found.select(F.concat_ws("#", F.col("procedure_id").cast("string"), F.lit(given["protocol"])).alias("id"), "path", "procedure_id", F.lit(given["protocol"]).alias("protocol"), "state", "violations", "ended_badly", "witness", "ord")
+
+
+def solved(kind: str, option: str, table: str) -> Apply:
+    """A registered flow solved over the procedures' control edges: from every source to the sinks it reaches, around the barriers.
+    Labels are sources, so the frontier holds (source, point) pairs of one procedure each. Ready findings are looked up."""
+
+    def apply(rows: DataFrame, facts: Facts, given: dict) -> DataFrame:
+        if table in facts:
+            return equi(table, "id", "procedure_id", **{option: None})(rows, facts, given)
+        plan = REGISTRY.find(kind, given.get(option))
+        events = of_rows(rows, facts["state_events"])
+        source = events.where(plan.source).select(F.col("id").alias("label"), "procedure_id", F.col("point").alias("start"), F.col("subject").alias("what"))
+        sink = events.where(plan.sink).select(F.col("id").alias("target_id"), F.col("procedure_id").alias("_p"), "point", F.col("subject").alias("_s"))
+        same = F.col("_s") == F.col("what") if plan.classes else F.lit(True)
+        blocked = None
+        if plan.barrier:
+            walls = events.where(plan.barrier).select(F.col("id").alias("_w"), F.col("procedure_id").alias("_p"), "point", F.col("subject").alias("_s"))
+            blocked = source.join(walls, (F.col("procedure_id") == F.col("_p")) & (F.col("label") != F.col("_w")) & same).select("label", F.col("point").alias("id")).distinct()
+        reached = graph.reachable(source.select("label", F.col("start").alias("id")), facts["control_edges"], blocked)
+        ends = reached.join(source, "label").join(sink, (F.col("id") == F.col("point")) & (F.col("procedure_id") == F.col("_p")) & (F.col("label") != F.col("target_id")) & same)
+        witness = F.array(F.struct(F.col("start").alias("point"), F.col("label").alias("event_id")), F.struct("point", F.col("target_id").alias("event_id"))).alias("witness")
+        found = ends.select("procedure_id", F.col("label").alias("source_id"), "target_id", F.col("depth").alias("distance"), witness).join(rows.select(F.col("id").alias("procedure_id"), "path", "ord"), "procedure_id")
+        return found.select(F.concat_ws("#", F.col("source_id").cast("string"), F.col("target_id").cast("string")).alias("id"), "path", "procedure_id", "source_id", "target_id", "distance", "witness", "ord")
+
+    return apply
+
+
+def flow_relations(rows: DataFrame, facts: Facts, given: dict) -> DataFrame:
+    """Reaching, dominating and same-evaluation establishments of the reads: of a procedure's, or of the events given."""
+    of_events = "event" in rows.columns
+    if "flows" not in facts:
+        mine = (rows.select(F.col("procedure_id").alias("id")) if of_events else rows.select("id")).distinct()
+        events = of_rows(mine, facts["state_events"])
+        points = of_rows(mine, facts["points"])
+        edges = facts["control_edges"].join(points.select(F.col("id").alias("src"), "procedure_id"), "src")
+        solved_ = graph.flow_relations(points.select(F.col("procedure_id").alias("procedure"), F.col("id").alias("point"), "boundary"), edges.select(F.col("procedure_id").alias("procedure"), "src", "dst"), events.select(F.col("procedure_id").alias("procedure"), "point", "event", "subject"))
+        at = lambda event, point, name: events.where(F.col("event") == event).select(F.col("procedure_id").alias("procedure"), "subject", F.col("point").alias(point), F.col("id").alias(name), *(["path"] if name == "target_id" else []))
+        both = solved_.join(at("establish", "source", "source_id"), ["procedure", "subject", "source"]).join(at("read", "target", "target_id"), ["procedure", "subject", "target"])
+        flows = both.select(F.concat_ws("#", "relation", F.col("source_id").cast("string"), F.col("target_id").cast("string")).alias("id"), "path", F.col("procedure").alias("procedure_id"), "relation", "source_id", "target_id", "certainty")
+        facts = facts | {"flows": flows}
+    return equi("flows", "id", "target_id" if of_events else "procedure_id", **FLOW)(rows, facts, given)
+
+
+def rewrite_paths(rows: DataFrame, facts: Facts, given: dict) -> DataFrame:
+    """What becomes of each name that a file's rewrite rules (path, src, dst) start from."""
+    if "rewrite_rules" in facts:
+        rules = facts["rewrite_rules"].join(rows.select("path").distinct(), "path", "left_semi")
+        named = lambda c: F.concat_ws("\0", "path", F.col(c).cast("string"))
+        chased = graph.rewrite_chase(rules.select(named("src").alias("id")).distinct(), rules.select(named("src").alias("src"), named("dst").alias("dst")), given.get("bound", 8))
+        paths = chased.select("id", F.split("id", "\0")[0].alias("path"), F.split("id", "\0")[1].alias("name"), "steps", "outcome", F.split("fixed_point", "\0")[1].alias("fixed_point"))
+        facts = facts | {"rewrite_paths": paths}
+    return equi("rewrite_paths", "path", "path", outcome="rewrite_outcome")(rows, facts, given)
+
+
+def call_shape(rows: DataFrame, facts: Facts, given: dict) -> DataFrame:
+    """One row for each site, the call's facts where there are any."""
+    t = facts["calls"]
+    both = rows.alias("r").join(t.alias("t"), F.col("r.id") == F.col("t.id"), "left")
+    return both.select(*(F.coalesce(F.col(f"t.`{c}`"), F.col(f"r.`{c}`")).alias(c) if c in ("id", "path") else F.col(f"t.`{c}`").alias(c) for c in t.columns), F.col("t.id").isNotNull().alias("known"), F.col("r.ord").alias("ord"))
+
+
+def applicability(rows: DataFrame, facts: Facts, given: dict) -> DataFrame:
+    """Each candidate of an occurrence with its verdict: applicable if the arity fits, unknown without a signature."""
+    bounds = facts["signatures"].select(F.col("declaration_id").alias("_d"), "min_arity", "max_arity")
+    c = facts["candidates"].join(bounds, F.col("target_id") == F.col("_d"), "left").drop("_d")
+    both = rows.alias("r").join(c.alias("t"), F.col("r.id") == F.col("t.occurrence_id"))
+    fits = F.col("r.arity").between(F.col("t.min_arity"), F.col("t.max_arity"))
+    verdict = F.when(fits, "applicable").when(~fits, "not_applicable").otherwise("unknown")
+    return both.select(*(F.col(f"t.`{x}`").alias(x) for x in c.columns), F.col("r.arity").alias("arity"), verdict.alias("verdict"), F.col("r.ord").alias("ord"))
+
+
 def trimmed(rows: DataFrame, facts: Facts, given: dict) -> DataFrame:
     """Kept witness steps, cut to max_steps; nothing is solved again."""
     return unfold("witness")(rows.withColumn("witness", F.slice("witness", 1, F.lit(given.get("max_steps", 1 << 20)))), facts, given)
@@ -226,9 +315,9 @@ declare("cfg_successor_edges", "program_point", "control_edge", equi("control_ed
 declare("cfg_predecessor_edges", "program_point", "control_edge", equi("control_edges", "id", "dst", edge_kind="control_edge"), edge_kind="control_edge")
 declare("cfg_edge_source", "control_edge", "program_point", equi("points", "src", "id"))
 declare("cfg_edge_target", "control_edge", "program_point", equi("points", "dst", "id"))
-declare("typestate", "procedure", "typestate_finding", equi("typestate_findings", "id", "procedure_id", protocol=None), protocol=None)
-declare("value_flow", "procedure", "flow_endpoint", equi("flow_endpoints", "id", "procedure_id", plan=None), plan=None)
-declare("taint", "procedure", "taint_finding", equi("taint_findings", "id", "procedure_id", taint=None), taint=None)
+declare("typestate", "procedure", "typestate_finding", typestate, protocol=None)
+declare("value_flow", "procedure", "flow_endpoint", solved("flows", "plan", "flow_endpoints"), plan=None)
+declare("taint", "procedure", "taint_finding", solved("taints", "taint", "taint_findings"), taint=None)
 declare("witness", "typestate_finding", "typestate_witness", trimmed, max_steps=None)
 declare("file_of", "match declaration reference_site occurrence call_site expression_site receiver_analysis receiver_outcome receiver_evidence member_selection overload_selection callable_applicability dispatch_outcome dispatch_target member_family member_family_edge call_shape call_argument_group call_argument call_binding call_effect procedure_effect callable_signature signature_parameter lexical_scope binding resolution_candidate candidate_hop reference_edge state_event flow_relation rewrite_path qualified_path path_segment procedure program_point control_edge", "file", whole_files)
 declare("imports_of", "file", "file", lambda r, f, o: equi("files", "to_path", "path")(equi("imports", "path", "from_path")(r, f, o), f, o))
@@ -250,7 +339,7 @@ declare("points_to", "match reference_site expression_site occurrence", "receive
 declare("member_targets", "match reference_site occurrence", "receiver_analysis", lambda r, f, o: equi("receiver_analyses", "id", "site_id")(r, f | {"receiver_analyses": f["receiver_analyses"].where("analysis_kind = 'member'")}, o))
 declare("receiver_outcome", "receiver_analysis", "receiver_outcome", lambda r, f, o: r.select("id", "path", "site_id", "outcome", "ord"))
 declare("receiver_evidence", "receiver_analysis", "receiver_evidence", unfold("evidence"))
-declare("call_shape", "match call_site occurrence", "call_shape", equi("calls", "id", "id"))
+declare("call_shape", "match call_site occurrence", "call_shape", call_shape)
 declare("call_argument_groups", "call_shape", "call_argument_group", lambda r, f, o: r.select(F.concat_ws("#", F.col("id").cast("string"), F.lit("0")).alias("id"), "path", F.col("id").alias("call_id"), F.lit(0).alias("group_index"), "arguments", "ord"))
 declare("call_arguments", "call_argument_group", "call_argument", unfold("arguments", position="argument_index"))
 declare("call_effects", "call_shape", "call_effect", lambda r, f, o: r.alias("r").join(f["effects"].alias("e"), F.col("r.callee_id") == F.col("e.callee_id"), "left").select(F.concat_ws("#", F.col("r.id").cast("string"), F.coalesce("e.effect_id", F.lit("-"))).alias("id"), "r.path", F.col("r.id").alias("call_id"), "e.effect_id", "r.ord"))
@@ -258,7 +347,7 @@ declare("procedure_effects", "declaration", "procedure_effect", procedure_effect
 declare("call_bindings", "call_shape", "call_binding", call_bindings)
 declare("callable_signature", "declaration", "callable_signature", equi("signatures", "id", "declaration_id"))
 declare("signature_parameters", "callable_signature", "signature_parameter", unfold("parameters"))
-declare("callable_applicability", "occurrence", "callable_applicability", lambda r, f, o: only(r.alias("r").join((c := f["candidates"].join(f["signatures"].select(F.col("declaration_id").alias("_d"), "min_arity", "max_arity"), F.col("target_id") == F.col("_d")).drop("_d")).alias("t"), F.col("r.id") == F.col("t.occurrence_id")).withColumn("_fits", F.col("r.arity").between(F.col("t.min_arity"), F.col("t.max_arity"))), c).join(r.select(F.col("id").alias("occurrence_id"), "arity"), "occurrence_id").withColumn("verdict", F.when(F.col("arity").between(F.col("min_arity"), F.col("max_arity")), "applicable").otherwise("not_applicable")))
+declare("callable_applicability", "occurrence", "callable_applicability", applicability)
 declare("overload_selection", "occurrence", "overload_selection", counted("applicable"))
 declare("member_selection", "occurrence", "member_selection", counted("selected"))
 declare("dispatch_outcome", "match call_site reference_site occurrence", "dispatch_outcome", one_each("dispatch_outcomes", "site_id", "outcome"))
@@ -282,11 +371,10 @@ declare("edges_from", "occurrence", "reference_edge", equi("reference_edges", "i
 declare("edge_target", "reference_edge", "declaration", equi("declarations", "target_id", "id"))
 EVENT = {"event": "state_event", "subject_kind": "subject"}
 declare("state_events_of", "procedure declaration", "state_event", equi("state_events", "id", "procedure_id", **EVENT), **EVENT)
-FLOW = {"relation": "flow_relation", "certainty": "certainty"}
-declare("flow_relations_of", "state_event procedure", "flow_relation", lambda r, f, o: (equi("flows", "id", "target_id", **FLOW) if "event" in r.columns else equi("flows", "id", "procedure_id", **FLOW))(r, f, o), **FLOW)
+declare("flow_relations_of", "state_event procedure", "flow_relation", flow_relations, **FLOW)
 declare("flow_source", "flow_relation", "state_event", equi("state_events", "source_id", "id"))
 declare("flow_target", "flow_relation", "state_event", equi("state_events", "target_id", "id"))
-declare("rewrite_paths_of", "file", "rewrite_path", equi("rewrite_paths", "path", "path", outcome="rewrite_outcome"), outcome="rewrite_outcome")
+declare("rewrite_paths_of", "file", "rewrite_path", rewrite_paths, outcome="rewrite_outcome", bound=None)
 declare("segments_of", "qualified_path", "path_segment", unfold("segments"))
 declare("segment_target", "path_segment", "declaration", lambda r, f, o: listed("declarations", "target_ids")(r, f, o) if "target_ids" in r.columns else equi("declarations", "value", "short_name")(r, f, o))
 declare("generates", "generation_site", "declaration_state", equi("declaration_states", "id", "generation_site_id"))

@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.scalars import glob_regex
 from ..operators import joins, patterns, steps
@@ -182,14 +183,21 @@ def rows(query: Mapping, facts: steps.Facts) -> DataFrame:
             found = found.where(reduce(Column.__or__, (F.col("path").rlike(glob_regex(g)) for g in globs)))
         if languages := query.get("languages"):
             found = found.where(F.col("language").isin(*languages))
-        # A total order without a shuffle: by path and place.
+        # A total order without a shuffle: by path, place and id; the numbers are what sets and steps put before it.
         place = F.col("start_byte") if "start_byte" in found.columns else F.lit(0)
-        out = found.withColumn("ord", F.array(F.xxhash64("path"), place.cast("long")))
+        own = F.col("id").cast("long") if isinstance(found.schema["id"].dataType, IntegralType) else F.lit(0).cast("long")
+        out = found.withColumn("ord", order(F.col("path"), place, own))
     for s in query.get("steps", []):
         kind, out = steps.run_step(s["op"], kind, out, facts, {k: v for k, v in s.items() if k != "op"})
     return out
 
 
+def order(path: Column, place: Column, own: Column) -> Column:
+    """A seed's place in the order of paths, as numbers that compare as the paths' bytes do (by eights), then place and id."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.octet_length(path) / 7).cast("int")), lambda i: F.conv(F.rpad(F.hex(F.substring(F.encode(path, "UTF-8"), i * 7 + 1, F.lit(7))), 14, "0"), 16, 10).cast("long"))
+    return F.concat(chunks, F.array(F.lit(-1).cast("long"), place.cast("long"), own))
+
+
 def union(branches: list[DataFrame]) -> DataFrame:
     """Distinct by id; the branches' order, then the rows'."""
     ordered = [b.withColumn("ord", F.concat(F.array(F.lit(i).cast("long")), "ord")) for i, b in enumerate(branches)]
@@ -206,6 +214,13 @@ def difference(branches: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(b.select("id"), "id", "left_anti"), branches[1:], branches[0])
 
 
+def every(query: Mapping | str, facts: steps.Facts) -> DataFrame:
+    """All rows of a query, whatever its limit."""
+    query = parse(query) if isinstance(query, str) else query
+    check(query)
+    return rows(query, facts)
+
+
 def run(query: Mapping | str, facts: steps.Facts) -> tuple[DataFrame, DataFrame]:
     """The first `limit` rows in order, and a one-row frame that says whether there were more."""
     query = parse(query) if isinstance(query, str) else query

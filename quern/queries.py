@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import step_queries
 from .functions import scalars
 from .operators import graph, joins, patterns, reports
 from .plans import query as language
@@ -145,12 +146,6 @@ register("set_intersect", f"{A} INTERSECT {B} INTERSECT {C}")(lambda s, d: langu
 register("set_except", f"{A} EXCEPT ({B} UNION {C})")(lambda s, d: language.difference(branches(s, d)).select("id"))
 
 
-@register("limit_probe", "SELECT count(*) > 100 AS truncated, least(count(*), 100) AS shown FROM part")
-def limit_probe(s, d):
-    probe = t(s, d, "part").orderBy("p_partkey").limit(101)
-    return probe.agg((F.count(F.lit(1)) > 100).alias("truncated"), F.least(F.count(F.lit(1)), F.lit(100).cast("long")).alias("shown"))
-
-
 TYPES = {"STANDARD": "plain", "SMALL": "plain", "PROMO": "sold", "ECONOMY": "sold", "plain": "all", "sold": "all"}
 register("kind_hierarchy", "SELECT p_partkey, p_type FROM part WHERE split_part(p_type, ' ', 1) IN ('sold', 'PROMO', 'ECONOMY')")(lambda s, d: t(s, d, "part").where(F.split("p_type", " ")[0].isin(*kinds_below("sold", TYPES))).select("p_partkey", "p_type"))
 register("name_alternation", "SELECT p_partkey, p_brand FROM part WHERE p_brand IN ('Brand#11', 'Brand#22', 'Brand#33')")(lambda s, d: t(s, d, "part").where(scalars.matches(F.col("p_brand"), "^(Brand#11|Brand#22|Brand#33)$")).select("p_partkey", "p_brand"))
@@ -172,27 +167,21 @@ register("kwargs_match", "SELECT event_id FROM events WHERE CAST(json_extract_st
 
 
 def tree(s, d) -> DataFrame:
-    """region over nation over customer as pre-order intervals: path, node_id, subtree_end, kind, name."""
-    r = t(s, d, "region").select(F.lit("w").alias("path"), (F.col("r_regionkey") * 100_000_000).cast("int").alias("node_id"), ((F.col("r_regionkey") + 1) * 100_000_000).cast("int").alias("subtree_end"), F.lit("region").alias("kind"), F.col("r_name").alias("name"))
-    at = F.col("n_regionkey") * 100_000_000 + (F.col("n_nationkey") + 1) * 2_000_000
-    n = t(s, d, "nation").select(F.lit("w").alias("path"), at.cast("int").alias("node_id"), (at + 2_000_000).cast("int").alias("subtree_end"), F.lit("nation").alias("kind"), F.col("n_name").alias("name"), "n_nationkey")
-    c = t(s, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("path", (F.col("node_id") + F.col("c_custkey")).cast("int").alias("node_id"), (F.col("node_id") + F.col("c_custkey") + 1).cast("int").alias("subtree_end"), F.lit("customer").alias("kind"), F.col("c_mktsegment").alias("name"))
-    return r.union(n.drop("n_nationkey")).union(c).withColumn("text", F.col("name"))
+    """region over nation as pre-order intervals: path, node_id, subtree_end, kind, name."""
+    stride = 1000
+    r = t(s, d, "region").select(F.lit("w").alias("path"), (F.col("r_regionkey") * stride).cast("int").alias("node_id"), ((F.col("r_regionkey") + 1) * stride).cast("int").alias("subtree_end"), F.lit("region").alias("kind"), F.col("r_name").alias("name"))
+    at = F.col("n_regionkey") * stride + F.col("n_nationkey") + 1
+    n = t(s, d, "nation").select(F.lit("w").alias("path"), at.cast("int").alias("node_id"), (at + 1).cast("int").alias("subtree_end"), F.lit("nation").alias("kind"), F.col("n_name").alias("name"))
+    return r.union(n).withColumn("text", F.col("name"))
 
 
 def no_roles(s) -> DataFrame:
     return s.createDataFrame([], facts.ROLES)
 
 
-HAS = "SELECT n_name AS name FROM nation WHERE {} (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING' AND c_custkey < 60)"
-small_tree = lambda s, d: tree(s, d).where("kind <> 'customer' or pmod(node_id, 2000000) < 60")
-register("has_descendant", HAS.format("EXISTS"))(lambda s, d: patterns.matching({"kind": "nation", "has": {"kind": "customer", "name": "BUILDING"}}, small_tree(s, d), no_roles(s)).select("name"))
-register("not_has", HAS.format("NOT EXISTS"))(lambda s, d: patterns.matching({"kind": "nation", "not_has": {"kind": "customer", "name": "BUILDING"}}, small_tree(s, d), no_roles(s)).select("name"))
-
-
 @register("inside_nearest", "SELECT n_name AS name, r_name AS ancestor FROM nation JOIN region ON n_regionkey = r_regionkey")
 def inside_nearest(s, d):
-    nodes = tree(s, d).where("kind <> 'customer'")
+    nodes = tree(s, d)
     near = patterns.nearest_ancestor(nodes, {"kind": "region"}, nodes.where("kind = 'nation'"), no_roles(s))
     return near.join(nodes.select(F.col("node_id").alias("ancestor"), F.col("name").alias("up")), "ancestor").select("name", F.col("up").alias("ancestor"))
 
@@ -527,8 +516,8 @@ def stream_typestate(s, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | step_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | step_queries.SQL
