@@ -36,18 +36,19 @@ def matches(column: Column, pattern: str) -> Column:
 
 def anchors(pattern: str, least: int = 4) -> list[str]:
     """Literals that every match of the pattern contains, if it is a plain sequence; for a contains() before the regex."""
-    if re.search(r"[|()\[\]{}?*\\]", pattern):
+    if re.search(r"[|()\[\]{}?\\]", pattern):
         return []
-    return [p for p in re.split(r"[.^$+]", pattern) if len(p) >= least]
+    return [p for p in re.split(r"\.[*+]?|[$^]|.\*|\+", pattern) if len(p) >= least]
 
 
-def branch_keywords() -> str:
-    return r"\b(if|while|for|switch|case|catch)\b"
+BRANCHES = ("if", "while", "for", "switch", "case", "catch")
 
 
 def cyclomatic(text: Column, longest: int = 1 << 20) -> Column:
-    """1 + branch keywords + `&&`, `||`, `?`; 1 where the source is too long."""
-    n = 1 + F.regexp_count(text, F.lit(branch_keywords())) + F.regexp_count(text, F.lit(r"&&|\|\||\?"))
+    """1 + branch keywords + `&&`, `||`, `?`; 1 where the source is too long. Words end where no ASCII letter, digit or _ follows,
+    whatever the dialect of regular expressions takes for a boundary."""
+    words = F.filter(F.split(text, "[^A-Za-z0-9_]+"), lambda w: w.isin(*BRANCHES))
+    n = 1 + F.size(words) + F.regexp_count(text, F.lit(r"&&|\|\||\?"))
     return F.when(F.length(text) > longest, 1).otherwise(n).cast("long")
 
 
@@ -79,6 +80,13 @@ def word_shingles(text: Column, k: int) -> Column:
     return let(words, lambda ws: F.when(F.size(ws) >= k, F.array_distinct(runs(ws))).otherwise(F.array().cast("array<string>")))
 
 
+def shingle_hashes(text: Column, k: int) -> Column:
+    """The distinct runs of k blank-separated words as 64-bit hashes."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    runs = lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws) - (k - 1)), lambda i: F.xxhash64(F.slice(ws, i, F.lit(k))))
+    return let(words, lambda ws: F.when(F.size(ws) >= k, F.array_distinct(runs(ws))).otherwise(F.array().cast("array<bigint>")))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value worked out once for a row, not once for each element of a lambda that names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -100,3 +108,18 @@ def content_key(domain: str, *parts: Column) -> Column:
 def cell(text: Column) -> Column:
     """Text for a Markdown table."""
     return F.regexp_replace(F.regexp_replace(text, r"\s*\n\s*", " "), r"\|", "\\\\|")
+
+
+#: Folders that say how a project is laid out, not what a file is about.
+LAYOUT = ("src", "lib", "main", "test", "tests", "java", "python")
+
+
+def mirror_key(path: Column) -> Column:
+    """The folders that are not layout and the file's stem: equal for a file and its tests."""
+    folders = F.filter(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))), lambda p: ~p.isin(*LAYOUT))
+    return F.array_join(F.concat(folders, F.array(stem(path))), "/")
+
+
+def embedding_text(path: Column, name: Column, signature: Column, body: Column) -> Column:
+    """The document that is embedded for a symbol: where it is, what it is, then its body."""
+    return F.concat_ws("\n", F.concat(F.lit("path: "), path), F.concat(F.lit("symbol: "), name), F.concat(F.lit("signature: "), signature), body)

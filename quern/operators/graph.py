@@ -173,6 +173,77 @@ def reaching(entry: int, edges: list[tuple[int, int]], events: list[tuple[int, s
     return sorted((s, d, p) for p, c, s in events if c == "read" for t, d in into.get(p, ()) if t == s)
 
 
+def postdominators(exits: list[int], edges: list[tuple[int, int]]) -> dict[int, set[int]]:
+    """The postdominators of each node from which an exit is reached: dominators backwards from one end behind all exits."""
+    end = min([v for e in edges for v in e] + exits, default=0) - 1
+    back = [(b, a) for a, b in edges] + [(end, x) for x in exits]
+    return {v: d - {end} for v, d in dominators(end, back).items() if v != end}
+
+
+def control_dependence(exits: list[int], edges: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    """(node, branch): the node runs or not by which way the branch goes: it postdominates a successor of the branch, not the branch itself."""
+    post = postdominators(exits, edges)
+    return {(v, a) for a, b in edges for v in post.get(b, ()) if v not in post.get(a, set()) - {a}}
+
+
+def loop_regions(entry: int, edges: list[tuple[int, int]]) -> dict[int, set[int]]:
+    """header: the nodes of its natural loop, of all back edges to it."""
+    dom = dominators(entry, edges)
+    before: dict[int, list[int]] = {}
+    for a, b in edges:
+        before.setdefault(b, []).append(a)
+    out: dict[int, set[int]] = {}
+    for a, h in edges:
+        if h in dom.get(a, ()):
+            region, todo = out.setdefault(h, {h}), [a]
+            while todo:
+                v = todo.pop()
+                if v not in region:
+                    region.add(v)
+                    todo += before.get(v, [])
+    return out
+
+
+def depth_first(entry: int, edges: list[tuple[int, int]]) -> list[int]:
+    """The nodes in the order they are first seen, successors by number."""
+    after: dict[int, list[int]] = {}
+    for a, b in sorted(edges, reverse=True):
+        after.setdefault(a, []).append(b)
+    seen, order, todo = set(), [], [entry]
+    while todo:
+        v = todo.pop()
+        if v not in seen:
+            seen.add(v)
+            order.append(v)
+            todo += after.get(v, [])
+    return order
+
+
+def control_facts(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """procedure, relation, a, b of each procedure's control-flow graph: b dominates, postdominates or controls a, is the header of a's
+    loop, the least node of a's strong component, or a's number in depth-first order. points: procedure, point,
+    boundary; edges: procedure, src, dst. A graph is one row, bounded by the size of a source function."""
+    kind = points.schema["procedure"].dataType.simpleString()
+
+    def solve(entry: int, exits: list[int], own: list) -> list[tuple[str, int, int]]:
+        out = [("dominates", v, d) for v, ds in dominators(entry, own).items() for d in ds]
+        out += [("postdominates", v, d) for v, ds in postdominators(exits, own).items() for d in ds]
+        out += [("controls", v, b) for v, b in control_dependence(exits, own)]
+        out += [("loop", v, h) for h, vs in loop_regions(entry, own).items() for v in vs]
+        out += [("component", v, c) for v, c in strong_components(own).items()]
+        return out + [("depth_first", v, i) for i, v in enumerate(depth_first(entry, own))]
+
+    def run(frames):
+        for pdf in frames:
+            rows = [(p, *r) for p, e, x, own in zip(pdf["procedure"], pdf["entry"], pdf["exits"], pdf["edges"]) for r in sorted(solve(int(e), [int(v) for v in x], [] if own is None else [(int(a), int(b)) for a, b in own]))]
+            yield pd.DataFrame(rows, columns=["procedure", "relation", "a", "b"])
+
+    entry, leaves = F.col("boundary") == "entry", F.col("boundary").like("%exit")
+    packed = points.groupBy("procedure").agg(F.min(F.when(entry, F.col("point"))).alias("entry"), F.collect_list(F.when(leaves, F.col("point"))).alias("exits")).where("entry is not null")
+    packed = packed.join(edges.groupBy("procedure").agg(F.array_sort(F.collect_list(F.array("src", "dst"))).alias("edges")), "procedure", "left")
+    return packed.mapInPandas(run, f"procedure {kind}, relation string, a long, b long")
+
+
 def flow_relations(points: DataFrame, edges: DataFrame, events: DataFrame) -> DataFrame:
     """procedure, relation, subject, source, target, certainty: reaching and dominating establishments of each read.
     points: procedure, point, boundary; edges: procedure, src, dst; events: procedure, point, event, subject.

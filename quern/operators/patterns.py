@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import matches
+from ..functions.scalars import anchors, matches
 from ..schema import PlanError, kinds_below
 
 SINGLE_ROLES = ("callee", "receiver", "left", "right", "object", "module", "field")
@@ -50,6 +50,7 @@ def own(pattern: dict) -> Column:
     if "name_regex" in pattern:
         tests.append(matches(F.col("name"), pattern["name_regex"]))
     if "text" in pattern:
+        tests += [F.col("text").contains(a) for a in anchors(pattern["text"])]
         tests.append(F.col("text").rlike(pattern["text"]))
     return reduce(Column.__and__, tests)
 

@@ -47,23 +47,34 @@ def cascade(items: DataFrame, tiers: list[Column], order: list[Column], limit: i
     return items.withColumn("tier", tier).orderBy("tier", *order).limit(limit)
 
 
-def shared_shingles(shingles: DataFrame, least: int) -> DataFrame:
-    """a, b (a < b), shared of documents that share `least` shingles or more; shingles: id, shingle, distinct.
-
-    The join is on the shingle. Shingles of one document alone go before it."""
-    df = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    common = shingles.join(df, "shingle").select("id", "shingle")
-    pairs = common.select("shingle", F.col("id").alias("a")).join(common.select("shingle", F.col("id").alias("b")), "shingle").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
-
-
 def clones(documents: DataFrame, k: int, least_shared: int, least_score: int) -> DataFrame:
-    """a, b, shared, score: Jaccard of word shingles in whole percent, half away from zero."""
-    sets = documents.select("id", scalars.word_shingles(F.col("text"), k).alias("s"))
-    sizes = sets.select("id", F.size("s").alias("n"))
-    shared = shared_shingles(sets.select("id", F.explode("s").alias("shingle")), least_shared)
-    both = shared.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n1")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n2")), "b")
-    return both.select("a", "b", "shared", F.round(100 * F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))).cast("long").alias("score")).where(F.col("score") >= least_score)
+    """a, b (a < b), shared, score of all pairs of (id, text): Jaccard of word shingles in whole percent, half away from zero.
+
+    Texts with one set of shingles are one class. Of a class's shingles, rarest first, only so many are indexed that a pair with the
+    score must meet on one of them; what meets is worked out exactly on the whole sets. So a line that very many texts
+    share makes no pairs by itself."""
+    bound = (least_score - 0.5) / 100
+    sets = documents.select("id", scalars.shingle_hashes(F.col("text"), k).alias("s")).where("size(s) > 0")
+    keyed = sets.select("id", "s", F.size("s").alias("n"), F.xxhash64(F.array_sort("s")).alias("g1"), F.hash(F.array_sort("s")).alias("g2"))
+    classes = keyed.groupBy("n", "g1", "g2").agg(F.min("id").alias("c"), F.first("s").alias("s"), F.count(F.lit(1)).alias("m"))
+    named = classes.select("c", "n", "s")
+    tokens = named.select("c", "n", F.explode("s").alias("h"))
+    df = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    common = tokens.join(df, "h")
+    by = Window.partitionBy("c")
+    # Shingles of one class alone come before all others and meet nothing.
+    place = F.row_number().over(by.orderBy("df", "h")) + F.col("n") - F.count(F.lit(1)).over(by)
+    indexed = common.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(bound * F.col("n")) + 1).select("c", "n", "h")
+    x, y = (indexed.select(F.col("c").alias(c), F.col("n").alias(n), "h") for c, n in (("x", "n1"), ("y", "n2")))
+    met = x.join(y, "h").where((F.col("x") < F.col("y")) & (F.least("n1", "n2") >= bound * F.greatest("n1", "n2"))).select("x", "y").distinct()
+    of = lambda c: named.select(F.col("c").alias(c), F.col("s").alias(f"s_{c}"))
+    judged = met.join(of("x"), "x").join(of("y"), "y").select("x", "y", F.size(F.array_intersect("s_x", "s_y")).cast("long").alias("shared"), (F.size("s_x") + F.size("s_y")).alias("both"))
+    scored = judged.select("x", "y", "shared", F.round(100 * F.col("shared") / (F.col("both") - F.col("shared"))).cast("long").alias("score")).where((F.col("shared") >= least_shared) & (F.col("score") >= least_score))
+    members = keyed.join(classes.select("n", "g1", "g2", "c"), ["n", "g1", "g2"]).select("id", "c", F.col("n").cast("long").alias("n"))
+    of = lambda c, i: members.select(F.col("c").alias(c), F.col("id").alias(i))
+    across = scored.join(of("x", "i"), "x").join(of("y", "j"), "y").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "shared", "score")
+    within = members.select("c", F.col("id").alias("a"), F.col("n").alias("shared")).join(of("c", "b"), "c").where((F.col("a") < F.col("b")) & (F.col("shared") >= least_shared)).select("a", "b", "shared", F.lit(100).cast("long").alias("score"))
+    return across.union(within)
 
 
 def bag_similarity(left: DataFrame, right: DataFrame, most_df: int | None = None) -> DataFrame:
@@ -194,3 +205,95 @@ def symbol_search(declarations: DataFrame, term: str, limit: int = 20) -> DataFr
 
 def test_files(files: DataFrame) -> DataFrame:
     return files.withColumn("is_test", F.col("path").rlike(r"(?i)(^|/)(tests?|__tests__|spec)/|(^|/)test_[^/]*$|[._-](test|spec)\.[^/]*$|Tests?\.[^/]*$"))
+
+
+TEST_WEIGHTS = {"none": 5, "tautology": 6, "constant_truth": 4, "constant_equality": 4, "nullness": 2, "shallow": 2, "literal": 2}
+
+
+def test_assertion_smells(tests: DataFrame, assertions: DataFrame, least: int = 4) -> DataFrame:
+    """id, score: a test (id) without an assertion has 5; each assertion (test_id, kind) adds its kind's weight, `meaningful`
+    ones nothing; where all are shallow, 2 less one for each meaningful one is added, at least 0."""
+    w = F.create_map(*(F.lit(x) for k, v in TEST_WEIGHTS.items() for x in (k, v)))
+    weight = F.when(F.col("kind") == "shallow", 0).otherwise(F.coalesce(F.try_element_at(w, F.col("kind")), F.lit(0)))
+    per = assertions.groupBy(F.col("test_id").alias("id")).agg(F.sum(weight).alias("sum"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == "shallow").alias("shallow"), F.count_if(F.col("kind") == "meaningful").alias("good"))
+    shallow = F.when(F.col("shallow") + F.col("good") == F.col("n"), F.when(F.col("shallow") > 0, F.greatest(F.lit(0), F.lit(TEST_WEIGHTS["shallow"]) - F.least("good", F.lit(4)))).otherwise(0)).otherwise(0)
+    score = F.when(F.col("n").isNull(), TEST_WEIGHTS["none"]).otherwise(F.col("sum") + shallow)
+    return tests.select("id").join(per, "id", "left").select("id", score.cast("long").alias("score")).where(F.col("score") >= least)
+
+
+#: Kinds whose nodes count one for themselves and one for each of them around.
+NESTING = ("if", "for_loop", "while_loop", "loop", "catch", "conditional")
+
+
+def cognitive(nodes: DataFrame, callables: DataFrame) -> DataFrame:
+    """id, complexity of each callable (id, path, node_id, subtree_end): every branch or loop below it counts 1 and as much again
+    as it is nested in others within the callable; an `else_if` and a `case` count 1."""
+    c = callables.select(F.col("id").alias("callable"), F.col("path").alias("_p"), F.col("node_id").alias("_c"), F.col("subtree_end").alias("_e"))
+    own = nodes.where(F.col("kind").isin(*NESTING, "else_if", "case"))
+    inside = own.join(c, (F.col("path") == F.col("_p")) & (F.col("node_id") > F.col("_c")) & (F.col("node_id") < F.col("_e"))).select("callable", "path", "node_id", "kind")
+    around = nodes.where(F.col("kind").isin(*NESTING)).join(c, (F.col("path") == F.col("_p")) & (F.col("node_id") > F.col("_c")) & (F.col("node_id") < F.col("_e"))).select(F.col("callable").alias("_q"), F.col("node_id").alias("_a"), F.col("subtree_end").alias("_z"))
+    nested = inside.where(F.col("kind").isin(*NESTING)).join(around, (F.col("callable") == F.col("_q")) & (F.col("node_id") > F.col("_a")) & (F.col("node_id") < F.col("_z"))).groupBy("callable").agg(F.count(F.lit(1)).alias("deep"))
+    flat = inside.groupBy("callable").agg(F.count(F.lit(1)).alias("flat"))
+    return callables.select("id").join(flat, F.col("id") == F.col("callable"), "left").drop("callable").join(nested, F.col("id") == F.col("callable"), "left").select("id", (F.coalesce("flat", F.lit(0)) + F.coalesce("deep", F.lit(0))).alias("complexity"))
+
+
+def label_similarity(pairs: DataFrame, labels: DataFrame, control: DataFrame) -> DataFrame:
+    """a, b, score: (2 * labels + control flow) / 3 in whole percent, each the multisets' shared part of their union; labels and
+    control: id, label, n."""
+
+    def overlap(bags: DataFrame, name: str) -> DataFrame:
+        x, y = (bags.select(F.col("id").alias(k), "label", F.col("n").alias(f"n_{k}")) for k in "ab")
+        low = pairs.join(x, "a").join(y, ["b", "label"]).groupBy("a", "b").agg(F.sum(F.least("n_a", "n_b")).alias("low"))
+        size = bags.groupBy("id").agg(F.sum("n").alias("s"))
+        both = pairs.select("a", "b").join(size.select(F.col("id").alias("a"), F.col("s").alias("s_a")), "a", "left").join(size.select(F.col("id").alias("b"), F.col("s").alias("s_b")), "b", "left").join(low, ["a", "b"], "left")
+        union = F.coalesce("s_a", F.lit(0)) + F.coalesce("s_b", F.lit(0)) - F.coalesce("low", F.lit(0))
+        return both.select("a", "b", F.when(union == 0, 1.0).otherwise(F.coalesce("low", F.lit(0)) / union).alias(name))
+
+    both = overlap(labels, "l").join(overlap(control, "c"), ["a", "b"])
+    return both.select("a", "b", F.round(100 * (2 * F.col("l") + F.col("c")) / 3).cast("long").alias("score"))
+
+
+def diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """key, state, was of declarations (key, name, kind, signature, body): introduced, deleted, edited, signature_changed, unchanged, or
+    moved, with the old key: one declaration on each side without a partner and with the same name, kind and body."""
+    o = old.select("key", *(F.col(c).alias(f"o_{c}") for c in ("name", "kind", "signature", "body")), F.lit(True).alias("o"))
+    n = new.select("key", *(F.col(c).alias(f"n_{c}") for c in ("name", "kind", "signature", "body")), F.lit(True).alias("n"))
+    both = o.join(n, "key", "full")
+    kept = both.where("o and n").select("key", F.when(~F.col("o_signature").eqNullSafe(F.col("n_signature")), "signature_changed").when(~F.col("o_body").eqNullSafe(F.col("n_body")), "edited").otherwise("unchanged").alias("state"), F.col("key").alias("was"))
+    gone = both.where("n is null").select(F.col("key").alias("was"), F.col("o_name").alias("name"), F.col("o_kind").alias("kind"), F.col("o_body").alias("body"))
+    come = both.where("o is null").select("key", F.col("n_name").alias("name"), F.col("n_kind").alias("kind"), F.col("n_body").alias("body"))
+    alone = lambda rows, key: rows.groupBy("name", "kind", "body").agg(F.min(key).alias(key), F.count(F.lit(1)).alias("c")).where("c = 1").drop("c")
+    moved = alone(gone, "was").join(alone(come, "key"), ["name", "kind", "body"]).select("key", F.lit("moved").alias("state"), "was")
+    deleted = gone.join(moved, "was", "left_anti").select(F.col("was").alias("key"), F.lit("deleted").alias("state"), "was")
+    introduced = come.join(moved, "key", "left_anti").select("key", F.lit("introduced").alias("state"), F.lit(None).cast(old.schema["key"].dataType).alias("was"))
+    return kept.unionByName(moved).unionByName(deleted).unionByName(introduced)
+
+
+def edge_diff(old: DataFrame, new: DataFrame, moved: DataFrame) -> DataFrame:
+    """src, dst, state of call or import edges (src, dst): added or removed, old ends renamed through moved (key, was) first."""
+    name = lambda c: moved.select(F.col("was").alias(c), F.col("key").alias(f"_{c}"))
+    renamed = old.join(name("src"), "src", "left").join(name("dst"), "dst", "left").select(F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst")).distinct()
+    new = new.select("src", "dst").distinct()
+    return new.join(renamed, ["src", "dst"], "left_anti").withColumn("state", F.lit("added")).union(renamed.join(new, ["src", "dst"], "left_anti").withColumn("state", F.lit("removed")))
+
+
+def identified(findings: DataFrame, *parts: str) -> DataFrame:
+    """The findings with their stable identity."""
+    return findings.withColumn("finding_id", scalars.content_key("finding", *(F.col(p) for p in parts)))
+
+
+def suppressed(findings: DataFrame, suppressions: DataFrame, today: str) -> DataFrame:
+    """The findings with `state`: suppressed by one (finding_id, until) that has not run out, expired, or open."""
+    s = suppressions.groupBy("finding_id").agg(F.max("until").alias("until"))
+    return findings.join(s, "finding_id", "left").withColumn("state", F.when(F.col("until").isNull(), "open").when(F.col("until") >= F.lit(today).cast("timestamp"), "suppressed").otherwise("expired")).drop("until")
+
+
+def near_misses(rows: DataFrame, tests: dict[str, Column], limit: int) -> DataFrame:
+    """The rows that fail the fewest tests but fail one, with those they fail: why they are not in the answer."""
+    failed = F.array_compact(F.array(*(F.when(~F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests.items())))
+    return rows.withColumn("failed", failed).where("size(failed) > 0").orderBy(F.size("failed"), "id").limit(limit)
+
+
+def prefix_free(paths: DataFrame) -> DataFrame:
+    """path, mirror: the path without layout segments and test affixes, which a file shares with its tests."""
+    return paths.select("path", scalars.mirror_key(F.col("path")).alias("mirror"))

@@ -8,10 +8,10 @@ empty min or max is 0, an empty `any` 0, an empty `all` 1, and a null fails `all
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegralType
 
@@ -62,7 +62,9 @@ class Test:
 class Source:
     name: str
     binding: str
+    #: The first rows alone, in the order of these columns (all of them unless told otherwise).
     limit: int | None = None
+    order: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -142,6 +144,10 @@ class Assertion:
         c = F.col(self.fold)
         return {"exactly": c == self.n, "at_least": c >= self.n, "at_most": c <= self.n}[self.kind]
 
+    def exceeded(self) -> Column:
+        """Broken in a way that more rows can't mend."""
+        return F.lit(False) if self.kind == "at_least" else F.col(self.fold) > self.n
+
 
 Relation = Source | Expand | Project | Filter | Join | Group
 
@@ -154,12 +160,14 @@ class Plan:
 
 @dataclass
 class Bound:
-    """A source's rows, how complete they are, their kind and its closed value sets."""
+    """A source's rows, how complete they are, their kind and its closed value sets; witnessed: each row is established by rows that
+    were read, not by the absence of some."""
 
     rows: DataFrame
     coverage: Coverage = EXHAUSTIVE
     kind: str | None = None
     enums: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+    witnessed: bool = True
 
 
 def inputs_of(r: Relation) -> list[str]:
@@ -225,7 +233,8 @@ class Compiled:
                 return b
             if r.limit < 1:
                 raise PlanError(at, "a bound is positive")
-            return Bound(b.rows.limit(r.limit), b.coverage.meet(incomplete("source_bound")), b.kind, b.enums)
+            self._columns(at, b, *r.order)
+            return replace(b, rows=b.rows.orderBy(*(r.order or b.rows.columns)).limit(r.limit), coverage=b.coverage.meet(incomplete("source_bound")))
         if isinstance(r, Join):
             left, right = self.bound[r.left], self.bound[r.right]
             if not r.on:
@@ -239,24 +248,25 @@ class Compiled:
             if r.kind == "inner":
                 if twice := set(left.rows.columns) & set(right.rows.columns):
                     raise PlanError(at, f"columns on both sides: {sorted(twice)}")
-                return Bound(joins.inner(left.rows, right.rows, r.on), both, None, {**left.enums, **right.enums})
+                return Bound(joins.inner(left.rows, right.rows, r.on), both, None, {**left.enums, **right.enums}, left.witnessed and right.witnessed)
             if r.kind not in ("semi", "anti"):
                 raise PlanError(at, f"{r.kind!r} is not a join")
             # What is missing on the right of an anti join would take rows away: its answer can't be relied on.
             level = both if r.kind == "semi" or right.coverage.complete else both.meet(incomplete("anti_over_partial"))
-            return Bound(getattr(joins, r.kind)(left.rows, right.rows, r.on), level, left.kind, left.enums)
+            witnessed = left.witnessed and (r.kind == "semi" or right.coverage.complete)
+            return Bound(getattr(joins, r.kind)(left.rows, right.rows, r.on), level, left.kind, left.enums, witnessed)
         b = self.bound[r.input]
         if isinstance(r, Filter):
             self._tests(at, b, r.tests)
-            return Bound(b.rows.where(reduce(Column.__and__, (t.expression() for t in r.tests), F.lit(True))), b.coverage, b.kind, b.enums)
+            return replace(b, rows=b.rows.where(reduce(Column.__and__, (t.expression() for t in r.tests), F.lit(True))))
         if isinstance(r, Project):
             self._columns(at, b, *r.columns.values())
-            return Bound(b.rows.select(*(F.col(old).alias(new) for new, old in r.columns.items())), b.coverage, None, {new: b.enums[old] for new, old in r.columns.items() if old in b.enums})
+            return Bound(b.rows.select(*(F.col(old).alias(new) for new, old in r.columns.items())), b.coverage, None, {new: b.enums[old] for new, old in r.columns.items() if old in b.enums}, b.witnessed)
         if isinstance(r, Expand):
             takes, makes = EXPANSIONS.get(r.step, (set(), None))
             if b.kind not in takes or r.step not in expansions:
                 raise PlanError(at, f"{r.step!r} does not expand rows of kind {b.kind!r}")
-            return Bound(expansions[r.step](b.rows), b.coverage, makes)
+            return Bound(expansions[r.step](b.rows), b.coverage, makes, witnessed=b.witnessed)
         self._columns(at, b, *r.by, *r.witnesses)
         if not r.by or not r.folds:
             raise PlanError(at, "a group has a key and a fold")
@@ -269,23 +279,39 @@ class Compiled:
             kind = b.rows.schema[f.column].dataType if f.column else None
             if f.kind in ("min", "max") and not isinstance(kind, IntegralType) or f.kind in ("any", "all") and not isinstance(kind, BooleanType):
                 raise PlanError(here, f"{f.kind} doesn't fold {kind}")
-        shown = F.slice(F.array_sort(F.collect_set(F.struct(*r.witnesses))), 1, REPRESENTATIVES) if r.witnesses else None
-        folds = [f.expression().alias(n) for n, f in r.folds.items()]
-        return Bound(b.rows.groupBy(*r.by).agg(*folds, *([shown.alias("representatives")] if r.witnesses else [])), b.coverage)
+        rows, folds = b.rows, [f.expression().alias(n) for n, f in r.folds.items()]
+        if r.witnesses:
+            # Ranked first, so that no group's witnesses are gathered beyond those shown.
+            name = "_witness"
+            while name in rows.columns:
+                name += "_"
+            rows = rows.withColumn(name, F.dense_rank().over(Window.partitionBy(*r.by).orderBy(*r.witnesses)))
+            folds.append(F.array_sort(F.collect_set(F.when(F.col(name) <= REPRESENTATIVES, F.struct(*r.witnesses)))).alias("representatives"))
+        return Bound(rows.groupBy(*r.by).agg(*folds), b.coverage, witnessed=b.witnessed)
 
     def violations(self, assertion: Assertion) -> DataFrame:
-        """The groups that break the assertion. `verdict`: a violation where what was read proves it, else an obligation:
-        with more rows, an upper bound stays broken and a lower one may be met."""
-        level = self.coverage(assertion.group)
-        broken = self.rows(assertion.group).where(~assertion.holds())
-        proven = F.lit(True) if level.complete else (F.col(assertion.fold) > assertion.n) & F.lit(assertion.kind != "at_least" and level.level == "proven_subset")
-        return broken.withColumn("verdict", F.when(proven, "violation").otherwise("obligation"))
+        """The groups that break the assertion, and those about which it can't be told. `verdict`: a violation where the rows read
+        prove it, else an obligation, with its `reason`. An exceeded upper bound is proven at any coverage, since more rows
+        can't mend it; that a bound is kept from above, or broken from below, says that no further row exists, which takes
+        exhaustive rows - and so does the absence of any group, which gives one row without a key. Rows that stand on the
+        absence of others (an anti join over a partial side) prove nothing."""
+        own, rows = self.bound[assertion.group], self.rows(assertion.group)
+        group = next(r for r in self.plan.relations if r.name == assertion.group)
+        complete, witnessed, holds = F.lit(own.coverage.complete), F.lit(own.witnessed), assertion.holds()
+        unread = F.when(holds, F.lit(assertion.kind != "at_least")).otherwise(~assertion.exceeded()) & ~complete
+        reason = F.when(~witnessed, "verdict_requires_witnessed_rows").when(unread, "absence_requires_exhaustive_coverage")
+        verdict = F.when(reason.isNotNull(), "obligation").when(~holds, "violation")
+        out = rows.withColumn("verdict", verdict).withColumn("reason", reason).where("verdict is not null")
+        if own.coverage.complete:
+            return out
+        empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
+        none = rows.select(*group.by).limit(1).agg(F.count(F.lit(1)).alias("_n")).where("_n = 0")
+        return out.unionByName(none.select(*empty, F.lit("obligation").alias("verdict"), F.lit("absence_requires_exhaustive_coverage").alias("reason")))
 
     def clean(self, assertion: Assertion) -> bool | None:
         """Whether the assertion holds; None where the rows read can't tell."""
-        if not self.violations(assertion).where("verdict = 'violation'").isEmpty():
-            return False
-        return True if self.coverage(assertion.group).complete else None
+        found = {r.verdict for r in self.violations(assertion).select("verdict").distinct().collect()}
+        return False if "violation" in found else None if found else True
 
 
 def selected_in_winning_tier(subjects: str, candidates: str, key: str) -> tuple[tuple[Relation, ...], Assertion]:
@@ -296,3 +322,15 @@ def selected_in_winning_tier(subjects: str, candidates: str, key: str) -> tuple[
         Group("_tier", "_both", (key,), {"n": Fold("count", None, (Test("selected", "eq", True), Test("winning", "eq", True)))}),
     )
     return rows, Assertion("_tier", "n", "exactly", 1)
+
+
+def step_expansions(facts: Mapping[str, DataFrame]) -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """The query language's steps as a plan's expansions."""
+    from ..operators.steps import run_step
+
+    def of(step: str, kind: str) -> Callable[[DataFrame], DataFrame]:
+        return lambda rows: run_step(step, kind, rows.withColumn("ord", F.array(F.lit(0).cast("long"))), facts)[1].drop("ord")
+
+    return {step: of(step, "occurrence" if "occurrence" in takes else min(takes)) for step, (takes, _) in EXPANSIONS.items() if takes and step != "receiver_outcome" and step != "receiver_evidence"} | {
+        step: (lambda step: lambda rows: of(step, "receiver_analysis")(of("receiver_targets", "occurrence")(rows) if "outcome" not in rows.columns else rows))(step) for step in ("receiver_outcome", "receiver_evidence")
+    }

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import step_queries
+from . import policy_queries, step_queries
 from .functions import scalars
 from .operators import graph, joins, patterns, reports
 from .plans import query as language
@@ -65,11 +65,13 @@ def rel_compare_columns(s, d):
     return planned(s, d, (Source("l", "lineitem"), Filter("f", "l", (Test("l_suppkey", "lt", other="l_partkey"), Test("l_orderkey", "ne", other="l_partkey"))), Project("p", "f", {c: c for c in ("l_orderkey", "l_linenumber", "l_suppkey")}))).rows("p")
 
 
-@register("rel_inner_nullsafe", "WITH a AS (SELECT event_id, CASE WHEN user_id % 7 = 0 THEN NULL ELSE user_id END AS k FROM events WHERE event_type = 'purchase'), b AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey END AS k2, c_nationkey FROM customer WHERE c_custkey <= 150 AND (c_custkey % 11 <> 0 OR c_custkey = 11)) SELECT event_id, k, c_nationkey FROM a JOIN b ON a.k IS NOT DISTINCT FROM b.k2")
+@register("rel_inner_nullsafe", "WITH a AS (SELECT CASE WHEN user_id % 7 = 0 THEN NULL ELSE user_id END AS k, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1), b AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey END AS k2, c_nationkey, count(*) AS m FROM customer GROUP BY 1, 2) SELECT k, c_nationkey, n, m FROM a JOIN b ON a.k IS NOT DISTINCT FROM b.k2")
 def rel_inner_nullsafe(s, d):
-    a = t(s, d, "events").where("event_type = 'purchase'").select("event_id", F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("k"))
-    b = t(s, d, "customer").where("c_custkey <= 150 and (c_custkey % 11 <> 0 or c_custkey = 11)").select(F.when(F.col("c_custkey") % 11 != 0, F.col("c_custkey")).alias("k2"), "c_nationkey")
-    return Compiled(Plan((Source("a", "a"), Source("b", "b"), Join("j", "inner", "a", "b", (("k", "k2"),)), Project("p", "j", {c: c for c in ("event_id", "k", "c_nationkey")}))), {"a": Bound(a), "b": Bound(b)}).rows("p")
+    """Null keys meet null keys; both sides are counted by key first, so that the null group stays one row for each value."""
+    a = t(s, d, "events").where("event_type = 'purchase'").select(F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("k"))
+    b = t(s, d, "customer").select(F.when(F.col("c_custkey") % 11 != 0, F.col("c_custkey")).alias("k2"), "c_nationkey")
+    relations = (Source("a", "a"), Source("b", "b"), Group("ga", "a", ("k",), {"n": Fold("count")}), Group("gb", "b", ("k2", "c_nationkey"), {"m": Fold("count")}), Join("j", "inner", "ga", "gb", (("k", "k2"),)), Project("p", "j", {c: c for c in ("k", "c_nationkey", "n", "m")}))
+    return Compiled(Plan(relations), {"a": Bound(a), "b": Bound(b)}).rows("p")
 
 
 def orders_of(kind: str):
@@ -94,12 +96,12 @@ def rel_fold_where(s, d):
     return planned(s, d, (Source("l", "lineitem"), Group("g", "l", ("l_orderkey",), {"n": Fold("count", None, RETURNED), "high": Fold("max", "l_linenumber", RETURNED)}))).rows("g")
 
 
-@register("rel_ordered_equal", "SELECT conv_id, CAST(list(role ORDER BY turn) = list(CASE WHEN rk % 2 = 1 THEN 'user' ELSE 'assistant' END ORDER BY turn) AS BIGINT) AS same FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rk FROM conversations WHERE role <> 'system') GROUP BY conv_id HAVING count(*) = count(DISTINCT turn)")
+@register("rel_ordered_equal", "WITH r AS (SELECT l_orderkey, l_linenumber AS p, l_returnflag AS x, CASE l_linestatus WHEN 'O' THEN 'N' ELSE 'R' END AS y FROM lineitem), a AS (SELECT l_orderkey, count(*) = count(DISTINCT p) AS ok, list(p || x ORDER BY p, x) AS l FROM (SELECT DISTINCT l_orderkey, p, x FROM r) GROUP BY 1), b AS (SELECT l_orderkey, count(*) = count(DISTINCT p) AS ok, list(p || y ORDER BY p, y) AS l FROM (SELECT DISTINCT l_orderkey, p, y FROM r) GROUP BY 1) SELECT a.l_orderkey, CAST(a.ok AND b.ok AND a.l = b.l AS BIGINT) AS same FROM a JOIN b USING (l_orderkey)")
 def rel_ordered_equal(s, d):
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = t(s, d, "conversations").where("role <> 'system'").withColumn("want", F.when(rank % 2 == 1, "user").otherwise("assistant"))
-    g = Group("g", "c", ("conv_id",), {"same": Fold("ordered_equal", sides=(("turn", "role"), ("turn", "want"))), "n": Fold("count"), "m": Fold("count_distinct", "turn")})
-    return Compiled(Plan((Source("c", "c"), g)), {"c": Bound(rows)}).rows("g").where("n = m").select("conv_id", "same")
+    """Two values at each line of an order; a line number with two different values has no order, and is not equal."""
+    rows = t(s, d, "lineitem").withColumn("want", F.when(F.col("l_linestatus") == "O", "N").otherwise("R"))
+    g = Group("g", "l", ("l_orderkey",), {"same": Fold("ordered_equal", sides=(("l_linenumber", "l_returnflag"), ("l_linenumber", "want")))})
+    return Compiled(Plan((Source("l", "l"), g)), {"l": Bound(rows)}).rows("g")
 
 
 @register("rel_assert_violations", "SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag = 'R') AS n, 'violation' AS verdict FROM lineitem GROUP BY 1 HAVING count(*) FILTER (WHERE l_returnflag = 'R') > 2")
@@ -109,10 +111,42 @@ def rel_assert_violations(s, d):
     return Compiled(plan, {"lineitem": Bound(t(s, d, "lineitem"))}).violations(plan.assertions[0]).select("l_orderkey", "n", "verdict")
 
 
-@register("rel_coverage_obligations")
-def rel_coverage_obligations(s, d):
-    plan = Plan((Source("o", "orders", 100), Group("g", "o", ("o_custkey",), {"n": Fold("count")})), (Assertion("g", "n", "at_least", 2),))
-    return Compiled(plan, {"orders": Bound(t(s, d, "orders"))}).violations(plan.assertions[0]).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+FIRST = "SELECT o_custkey, count(*) AS n FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000) GROUP BY 1"
+UNREAD = "'absence_requires_exhaustive_coverage' AS reason"
+
+
+def bounded(s, d, kind: str, n: int) -> DataFrame:
+    """The customers of the first thousand orders, a source that is read in part."""
+    plan = Plan((Source("o", "orders", 1000, ("o_orderkey",)), Group("g", "o", ("o_custkey",), {"n": Fold("count")})), (Assertion("g", "n", kind, n),))
+    return Compiled(plan, {"orders": Bound(t(s, d, "orders"))}).violations(plan.assertions[0]).select("o_custkey", "n", "verdict", "reason")
+
+
+register("rel_coverage_obligations", f"SELECT o_custkey, n, 'obligation' AS verdict, {UNREAD} FROM ({FIRST}) WHERE n < 2")(lambda s, d: bounded(s, d, "at_least", 2))
+register("rel_coverage_upper_bound", f"SELECT o_custkey, n, CASE WHEN n > 1 THEN 'violation' ELSE 'obligation' END AS verdict, CASE WHEN n <= 1 THEN 'absence_requires_exhaustive_coverage' END AS reason FROM ({FIRST})")(lambda s, d: bounded(s, d, "at_most", 1))
+register("rel_coverage_exactly", f"SELECT o_custkey, n, CASE WHEN n > 2 THEN 'violation' ELSE 'obligation' END AS verdict, CASE WHEN n <= 2 THEN 'absence_requires_exhaustive_coverage' END AS reason FROM ({FIRST})")(lambda s, d: bounded(s, d, "exactly", 2))
+
+
+@register("rel_coverage_no_group", f"SELECT CAST(NULL AS BIGINT) AS o_custkey, 'obligation' AS verdict, {UNREAD}")
+def rel_coverage_no_group(s, d):
+    """No row of the part that was read holds the test: that there is none is a claim about rows nobody read."""
+    plan = Plan((Source("o", "orders", 1000, ("o_orderkey",)), Filter("f", "o", (Test("o_orderstatus", "eq", "X"),)), Group("g", "f", ("o_custkey",), {"n": Fold("count")})), (Assertion("g", "n", "exactly", 0),))
+    return Compiled(plan, {"orders": Bound(t(s, d, "orders"))}).violations(plan.assertions[0]).select("o_custkey", "verdict", "reason")
+
+
+@register("rel_coverage_anti_over_partial", "SELECT c_custkey, n, 'obligation' AS verdict, 'verdict_requires_witnessed_rows' AS reason FROM (SELECT c_custkey, count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)) GROUP BY 1)")
+def rel_coverage_anti_over_partial(s, d):
+    """Customers without an order among those read: each stands on an absence, so no verdict can be given."""
+    relations = (Source("c", "customer"), Source("o", "orders", 100, ("o_orderkey",)), Join("j", "anti", "c", "o", (("c_custkey", "o_custkey"),)), Group("g", "j", ("c_custkey",), {"n": Fold("count")}))
+    plan = Plan(relations, (Assertion("g", "n", "exactly", 0),))
+    return Compiled(plan, {n: Bound(t(s, d, n)) for n in ("customer", "orders")}).violations(plan.assertions[0]).select("c_custkey", "n", "verdict", "reason")
+
+
+@register("rel_representatives", "WITH g AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 6), w AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS r FROM w) SELECT l_orderkey, string_agg(l_partkey, ',' ORDER BY l_partkey) AS shown FROM g JOIN k USING (l_orderkey) WHERE r <= 8 GROUP BY 1")
+def rel_representatives(s, d):
+    """The rows shown with a violation: eight at most, the first in order."""
+    plan = Plan((Source("l", "lineitem"), Group("g", "l", ("l_orderkey",), {"n": Fold("count")}, ("l_partkey",))), (Assertion("g", "n", "at_most", 6),))
+    found = Compiled(plan, {"lineitem": Bound(t(s, d, "lineitem"))}).violations(plan.assertions[0])
+    return found.select("l_orderkey", F.array_join(F.transform("representatives", lambda x: x["l_partkey"].cast("string")), ",").alias("shown"))
 
 
 FLAGSHIP = "SELECT o_orderkey, CAST(coalesce(max(l_linenumber) FILTER (WHERE l_suppkey < l_partkey), 0) AS BIGINT) AS fold FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 1 HAVING coalesce(max(l_linenumber) FILTER (WHERE l_suppkey < l_partkey), 0) <> 0"
@@ -149,21 +183,13 @@ register("set_except", f"{A} EXCEPT ({B} UNION {C})")(lambda s, d: language.diff
 TYPES = {"STANDARD": "plain", "SMALL": "plain", "PROMO": "sold", "ECONOMY": "sold", "plain": "all", "sold": "all"}
 register("kind_hierarchy", "SELECT p_partkey, p_type FROM part WHERE split_part(p_type, ' ', 1) IN ('sold', 'PROMO', 'ECONOMY')")(lambda s, d: t(s, d, "part").where(F.split("p_type", " ")[0].isin(*kinds_below("sold", TYPES))).select("p_partkey", "p_type"))
 register("name_alternation", "SELECT p_partkey, p_brand FROM part WHERE p_brand IN ('Brand#11', 'Brand#22', 'Brand#33')")(lambda s, d: t(s, d, "part").where(scalars.matches(F.col("p_brand"), "^(Brand#11|Brand#22|Brand#33)$")).select("p_partkey", "p_brand"))
-register("text_regex", "SELECT doc_id FROM documents WHERE regexp_matches(text, '[A-Z][a-z]+, the [a-z]+ of')")(lambda s, d: t(s, d, "documents").where(F.col("text").rlike("[A-Z][a-z]+, the [a-z]+ of")).select("doc_id"))
-register("source_anchor", "SELECT doc_id FROM documents WHERE contains(text, 'Licensed under') AND contains(text, 'Version 2')")(lambda s, d: t(s, d, "documents").where(F.col("text").contains("Licensed under") & F.col("text").contains("Version 2")).select("doc_id"))
+register("source_anchor", "SELECT doc_id AS id FROM documents WHERE regexp_matches(text, 'Licensed under .*Version 2')")(lambda s, d: patterns.matching({"kind": "text", "text": "Licensed under .*Version 2"}, t(s, d, "documents").select(F.lit("d").alias("path"), F.col("doc_id").alias("id"), F.col("doc_id").alias("node_id"), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("name"), "text"), no_roles(s)).select("id"))
 
 # Patterns over lists, trees and intervals.
 
 
-@register("args_subsequence", "SELECT conv_id FROM (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 's' END, '' ORDER BY turn) AS roles FROM conversations GROUP BY 1) WHERE regexp_matches(roles, 'u.*a.*u')")
-def args_subsequence(s, d):
-    roles = t(s, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("r"))
-    want = F.array(*map(F.lit, ("user", "assistant", "user")))
-    taken = F.aggregate("r", F.lit(0), lambda i, r: F.when(F.get(want, i) == r, i + 1).otherwise(i))
-    return roles.where(taken == 3).select("conv_id")
 
 
-register("kwargs_match", "SELECT event_id FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) = 7")(lambda s, d: t(s, d, "events").where(F.get_json_object("props", "$.k").cast("long") == 7).select("event_id"))
 
 
 def tree(s, d) -> DataFrame:
@@ -197,19 +223,15 @@ def enclosing_decl(s, d):
 
 # References and calls: part is a declaration, lineitem a site, orders its owner.
 
-register("references_of", "SELECT p_partkey, l_orderkey, l_linenumber FROM part JOIN lineitem ON p_partkey = l_partkey WHERE p_size = 1 AND l_linestatus = 'F'")(lambda s, d: t(s, d, "part").where("p_size = 1").join(t(s, d, "lineitem").where("l_linestatus = 'F'"), F.col("p_partkey") == F.col("l_partkey")).select("p_partkey", "l_orderkey", "l_linenumber"))
-register("used_by", "SELECT DISTINCT p_partkey, l_orderkey AS owner FROM part JOIN lineitem ON p_partkey = l_partkey WHERE p_size = 1")(lambda s, d: t(s, d, "part").where("p_size = 1").join(t(s, d, "lineitem"), F.col("p_partkey") == F.col("l_partkey")).select("p_partkey", F.col("l_orderkey").alias("owner")).distinct())
-register("uses", "SELECT DISTINCT o_orderkey, l_partkey AS target FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'")(lambda s, d: t(s, d, "orders").where("o_orderstatus = 'P'").join(t(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", F.col("l_partkey").alias("target")).distinct())
 
 
-def calls(s, d, suppliers: str = "l_suppkey <= 10") -> DataFrame:
+def calls(s, d) -> DataFrame:
     """supplier s calls part p, part p calls part p / 2."""
-    l = t(s, d, "lineitem").where(suppliers).select((-F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    l = t(s, d, "lineitem").where("l_suppkey is not null").select((-F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst")).distinct()
     return l.union(t(s, d, "part").where("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("long").alias("dst")))
 
 
-CALLS = "calls AS (SELECT DISTINCT -l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey <= 10 UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey > 1)"
-register("call_sites_to", f"WITH {CALLS} SELECT src, dst FROM calls WHERE dst IN (1, 2, 3)")(lambda s, d: calls(s, d).where("dst in (1, 2, 3)"))
+CALLS = "calls AS (SELECT DISTINCT -l_suppkey AS src, l_partkey AS dst FROM lineitem WHERE l_suppkey IS NOT NULL UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey > 1)"
 
 
 @register("callers_depth", f"WITH RECURSIVE {CALLS}, r AS (SELECT dst AS root, src AS id, 1 AS depth FROM calls WHERE dst IN (5, 7) UNION SELECT r.root, c.src, r.depth + 1 FROM r JOIN calls c ON c.dst = r.id WHERE r.depth < 3) SELECT root, id, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1, 2")
@@ -218,8 +240,6 @@ def callers_depth(s, d):
     return graph.closure(s.createDataFrame([(5,), (7,)], "id long"), e, 3, True).select("root", "id", "depth")
 
 
-register("members", "SELECT r_name, n_name FROM region JOIN nation ON r_regionkey = n_regionkey")(lambda s, d: joins.inner(t(s, d, "region"), t(s, d, "nation"), [("r_regionkey", "n_regionkey")]).select("r_name", "n_name"))
-register("owner", "SELECT n_name, r_name AS owner FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 12")(lambda s, d: joins.inner(t(s, d, "nation").where("n_nationkey < 12"), t(s, d, "region"), [("n_regionkey", "r_regionkey")]).select("n_name", F.col("r_name").alias("owner")))
 
 
 @register("supertypes_transitive", "WITH RECURSIVE r AS (SELECT p_partkey AS root, p_partkey // 2 AS id, 1 AS depth FROM part WHERE p_size = 2 AND p_partkey > 1 UNION ALL SELECT root, id // 2, depth + 1 FROM r WHERE id > 1) SELECT root, id, CAST(depth AS INTEGER) AS depth FROM r")
@@ -250,23 +270,10 @@ def candidates_ranked(s, d):
     return best.select("l_partkey", "b.l_suppkey", "b.tier")
 
 
-@register("call_bindings", "WITH formals AS (SELECT * FROM (VALUES (0, 'system'), (1, 'user'), (2, 'assistant'), (3, 'tool')) f(pos, want)), convs AS (SELECT DISTINCT conv_id FROM conversations) SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, a.turn AS turn, b.pos AS formal FROM conversations a FULL OUTER JOIN (SELECT conv_id, pos, want FROM convs CROSS JOIN formals) b ON a.conv_id = b.conv_id AND a.role = b.want AND a.turn < 4")
-def call_bindings(s, d):
-    a = t(s, d, "conversations").select("conv_id", "turn", "role")
-    formals = F.explode(F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(w).alias("want")) for i, w in enumerate(("system", "user", "assistant", "tool")))))
-    b = a.select("conv_id").distinct().select(F.col("conv_id").alias("c"), formals.alias("f")).select("c", "f.pos", "f.want")
-    return a.join(b, (F.col("conv_id") == F.col("c")) & (F.col("role") == F.col("want")) & (F.col("turn") < 4), "full").select(F.coalesce("conv_id", "c").alias("conv_id"), "turn", F.col("pos").alias("formal"))
 
 
-@register("call_arguments_explode", "SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS position, o_orderkey AS argument FROM orders")
-def call_arguments_explode(s, d):
-    lists = t(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("a"))
-    return lists.select("o_custkey", F.posexplode("a").alias("position", "argument"))
 
 
-@register("family_id", "SELECT p_brand, sha256(string_agg(DISTINCT p_type, '|' ORDER BY p_type)) AS family_id FROM part GROUP BY 1")
-def family_id(s, d):
-    return t(s, d, "part").groupBy("p_brand").agg(F.sha2(F.array_join(F.array_sort(F.collect_set("p_type")), "|"), 256).alias("family_id"))
 
 
 @register("edge_parity", "WITH f AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_returnflag <> 'N'), i AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_linestatus = 'F') SELECT a, b, 'forward_only' AS side FROM (SELECT * FROM f EXCEPT SELECT * FROM i) UNION ALL SELECT a, b, 'inverse_only' FROM (SELECT * FROM i EXCEPT SELECT * FROM f)")
@@ -303,9 +310,9 @@ def cascade_rank(s, d):
     return reports.cascade(t(s, d, "part"), [brand & size, brand, size], [F.col("p_retailprice").desc(), F.col("p_partkey")], 20).select("p_partkey", "tier")
 
 
-@register("cyclomatic", r"SELECT doc_id, CAST(1 + len(regexp_extract_all(text, '\b(if|while|for|switch|case|catch)\b')) + len(regexp_extract_all(text, '&&|\|\||\?')) AS BIGINT) AS complexity FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
+@register("cyclomatic", r"SELECT doc_id, CAST(1 + len(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda w: w IN ('if', 'while', 'for', 'switch', 'case', 'catch'))) + len(regexp_extract_all(text, '&&|\|\||\?')) AS BIGINT) AS complexity FROM documents")
 def cyclomatic(s, d):
-    return t(s, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", scalars.cyclomatic(F.col("text")).alias("complexity"))
+    return t(s, d, "documents").select("doc_id", scalars.cyclomatic(F.col("text")).alias("complexity"))
 
 
 @register("grep_context", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents WHERE contains(text, 'Licensed under')), h AS (SELECT doc_id, line FROM l WHERE contains(text, 'Licensed under')) SELECT DISTINCT l.doc_id, CAST(l.line AS INTEGER) AS line, l.text, contains(l.text, 'Licensed under') AS hit FROM l JOIN h ON l.doc_id = h.doc_id AND abs(l.line - h.line) <= 1")
@@ -346,23 +353,23 @@ def clone_pairs(s, d):
 
 @register("benchmark_containment", "WITH b AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM benchmark), s AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 7], ' ') AS sh FROM (SELECT item_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM b)), d AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents), e AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 7], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM d)) SELECT doc_id, item_id, count(*) AS shared FROM e JOIN s ON e.sh = s.sh GROUP BY 1, 2")
 def benchmark_containment(s, d):
-    shingled = lambda rows, key: rows.select(key, F.explode(scalars.word_shingles(F.col("text"), 8)).alias("sh"))
+    shingled = lambda rows, key: rows.select(key, F.explode(scalars.shingle_hashes(F.col("text"), 8)).alias("sh"))
     return shingled(t(s, d, "documents"), "doc_id").join(shingled(t(s, d, "benchmark"), "item_id"), "sh").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def bags(s, d) -> tuple[DataFrame, DataFrame]:
-    c = t(s, d, "conversations").where("role in ('user', 'assistant') and turn < 3").select("conv_id", "role", F.explode(F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda w: F.length(w) > 3)).alias("token"))
+    c = t(s, d, "conversations").where("role in ('user', 'assistant')").select("conv_id", "role", F.explode(F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda w: F.length(w) > 3)).alias("token"))
     n = c.groupBy("conv_id", "role", "token").agg(F.count(F.lit(1)).alias("n"))
     side = lambda r: n.where(F.col("role") == r).select(F.concat(F.lit(r), F.col("conv_id")).alias("id"), "token", "n")
     return side("user"), side("assistant")
 
 
-@register("idf_body_similarity", "WITH c AS (SELECT role || conv_id AS id, role, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS token FROM conversations WHERE role IN ('user', 'assistant') AND turn < 3), b AS (SELECT id, role, token, count(*) AS n FROM c WHERE length(token) > 3 GROUP BY 1, 2, 3), w AS (SELECT token, ln(((SELECT count(DISTINCT id) FROM b) + 1) / (count(DISTINCT id) + 0.5)) AS w FROM b GROUP BY 1), s AS (SELECT id, sum(w * n) AS t FROM b JOIN w USING (token) GROUP BY 1), p AS (SELECT x.id AS l, y.id AS r, sum(w * least(x.n, y.n)) AS low FROM b x JOIN b y ON x.token = y.token AND x.role = 'user' AND y.role = 'assistant' JOIN w ON w.token = x.token GROUP BY 1, 2) SELECT l, r, round(low / (a.t + z.t - low), 4) AS score FROM p JOIN s a ON a.id = l JOIN s z ON z.id = r WHERE low / (a.t + z.t - low) >= 0.1")
+@register("idf_body_similarity", "WITH c AS (SELECT role || conv_id AS id, role, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS token FROM conversations WHERE role IN ('user', 'assistant')), b AS (SELECT id, role, token, count(*) AS n FROM c WHERE length(token) > 3 GROUP BY 1, 2, 3), w AS (SELECT token, ln(((SELECT count(DISTINCT id) FROM b) + 1) / (count(DISTINCT id) + 0.5)) AS w FROM b GROUP BY 1), s AS (SELECT id, sum(w * n) AS t FROM b JOIN w USING (token) GROUP BY 1), p AS (SELECT x.id AS l, y.id AS r, sum(w * least(x.n, y.n)) AS low FROM b x JOIN b y ON x.token = y.token AND x.role = 'user' AND y.role = 'assistant' JOIN w ON w.token = x.token GROUP BY 1, 2) SELECT l, r, round(low / (a.t + z.t - low), 4) AS score FROM p JOIN s a ON a.id = l JOIN s z ON z.id = r WHERE low / (a.t + z.t - low) >= 0.02")
 def idf_body_similarity(s, d):
-    return reports.bag_similarity(*bags(s, d)).where("score >= 0.1").select("l", "r", F.round("score", 4).alias("score"))
+    return reports.bag_similarity(*bags(s, d)).where("score >= 0.02").select("l", "r", F.round("score", 4).alias("score"))
 
 
-register("idf_body_pairing")(lambda s, d: reports.greedy_pairs(reports.bag_similarity(*bags(s, d)), 0.1))
+register("idf_body_pairing")(lambda s, d: reports.greedy_pairs(reports.bag_similarity(*bags(s, d)), 0.02))
 
 SECRET = r"(token|secret|password|api_key)\s*=\s*.[A-Za-z0-9]{16}"
 register("secret_rules", f"SELECT doc_id, 'assignment' AS rule FROM documents WHERE regexp_matches(text, '{SECRET}') UNION ALL SELECT doc_id, 'long_hex' FROM documents WHERE regexp_matches(text, '[0-9a-f]{{32}}')")(
@@ -473,7 +480,7 @@ def shortest_paths(s, d):
 @register("page_rank")
 def page_rank(s, d):
     """Ranks of the whole call graph, every supplier's calls included."""
-    return graph.page_rank(s, graph.cut_lineage(calls(s, d, "l_suppkey is not null")), 10)
+    return graph.page_rank(s, graph.cut_lineage(calls(s, d)), 10)
 
 
 @register("html_nodes")
@@ -516,8 +523,8 @@ def stream_typestate(s, d):
 
 
 def queries() -> dict[str, Query]:
-    return QUERIES | step_queries.QUERIES
+    return QUERIES | step_queries.QUERIES | policy_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | step_queries.SQL
+    return SQL | step_queries.SQL | policy_queries.SQL

@@ -54,16 +54,42 @@ def test_ordered_equal(spark):
 
 
 def test_coverage_decides_between_violation_and_obligation(args):
-    most, least = Assertion("g", "k", "at_most", 2), Assertion("g", "k", "at_least", 2)
+    most, least, exactly = Assertion("g", "k", "at_most", 2), Assertion("g", "k", "at_least", 2), Assertion("g", "k", "exactly", 2)
     group = Group("g", "a", ("site",), {"k": Fold("count")}, ("id",))
-    for level, want in ((EXHAUSTIVE, {"violation"}), (Coverage("proven_subset"), {"violation"}), (incomplete("cut"), {"obligation"})):
-        assert {r.verdict for r in compiled(args, group, coverage=level, assertions=(most,)).violations(most).collect()} == want
+    sizes = {r.site: r.k for r in compiled(args, group).rows("g").collect()}
+    assert max(sizes.values()) > 2 and min(sizes.values()) <= 2
+    # An exceeded upper bound is proven by the rows read; one that is kept says that there are no others.
+    for level in (EXHAUSTIVE, Coverage("proven_subset"), incomplete("cut")):
+        for assertion in (most, exactly):
+            c = compiled(args, group, coverage=level, assertions=(assertion,))
+            got = {r.site: r.verdict for r in c.violations(assertion).collect()}
+            kept = {} if level.complete else {s: "obligation" for s, k in sizes.items() if k <= 2}
+            under = {s: "violation" for s, k in sizes.items() if k < 2} if level.complete and assertion is exactly else {}
+            assert got == kept | under | {s: "violation" for s, k in sizes.items() if k > 2} and c.clean(assertion) is False
     part = compiled(args, group, coverage=Coverage("proven_subset"), assertions=(least,))
-    assert {r.verdict for r in part.violations(least).collect()} == {"obligation"} and part.clean(least) is None
+    assert {r.site for r in part.violations(least).collect()} == {s for s, k in sizes.items() if k < 2}
+    assert {(r.verdict, r.reason) for r in part.violations(least).collect()} <= {("obligation", "absence_requires_exhaustive_coverage")}
     shown = compiled(args, group, assertions=(most,)).violations(most).head()
     assert [r.id for r in shown.representatives] == ["a1", "a2", "a3"]
 
 
+def test_no_group_over_partial_rows_is_an_obligation(args):
+    zero = Assertion("g", "k", "exactly", 0)
+    relations = (Filter("none", "a", (Test("site", "eq", "no such site"),)), Group("g", "none", ("site",), {"k": Fold("count")}))
+    assert compiled(args, *relations, assertions=(zero,)).violations(zero).count() == 0
+    c = compiled(args, *relations, coverage=Coverage("proven_subset"), assertions=(zero,))
+    assert [(r.site, r.verdict) for r in c.violations(zero).collect()] == [(None, "obligation")] and c.clean(zero) is None
+
+
+def test_anti_over_partial_rows_proves_nothing(spark, args):
+    zero = Assertion("g", "k", "exactly", 0)
+    other = spark.createDataFrame([("s1",)], "k string")
+    relations = (Source("s", "s"), Join("t", "anti", "a", "s", (("site", "k"),)), Group("g", "t", ("site",), {"k": Fold("count")}))
+    for level, want in ((EXHAUSTIVE, {"violation"}), (Coverage("proven_subset"), {"obligation"})):
+        c = compiled(args, *relations, assertions=(zero,), s=Bound(other, level))
+        assert {r.verdict for r in c.violations(zero).collect()} == want and c.bound["g"].witnessed == level.complete
+
+
 def test_meet_and_anti_over_partial(spark, args):
     assert incomplete("a").meet(incomplete("b")).reasons == {"a", "b"}
     c = compiled(args, Source("s", "s"), Join("t", "anti", "a", "s", (("site", "k"),)), s=Bound(spark.createDataFrame([("s1",)], "k string"), Coverage("proven_subset")))
