@@ -10,14 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder the cluster shares; one of our own only where none is set and all runs on one machine."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where none is set and all runs on one machine."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not at:
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="quern-"))
+        at = tempfile.mkdtemp(prefix="quern-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder the cluster shares."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -5,7 +5,6 @@ Every query runs over whole tables. Floats are rounded on both sides; counts are
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -488,28 +487,29 @@ def html_nodes(s, d):
     return facts.html_nodes(t(s, d, "pages"))
 
 
-@register("html_links_inside")
+@register("html_links_inside", "SELECT url || '#' || page_id AS path, unnest(regexp_extract_all(regexp_extract(html, '<nav>(.*)</nav>', 1), '<a href=\"([^\"]*)\"', 1)) AS text FROM pages")
 def html_links_inside(s, d):
-    """The query language over parsed pages: links inside a paragraph, or in a list."""
+    """The query language over parsed pages: links inside the navigation."""
     nodes = facts.html_nodes(t(s, d, "pages"))
-    rows, _ = language.run({"match": {"kind": "a", "inside": {"kind": "p"}}, "limit": 1000}, {"nodes": nodes, "roles": no_roles(s)})
-    return rows.select("path", "node_id", "text")
+    return language.every({"match": {"kind": "a", "inside": {"kind": "nav"}}}, {"nodes": nodes, "roles": no_roles(s)}).select("path", "text")
 
 
-@register("sarif_report")
+HEX = "[0-9a-f]{16}"
+
+
+@register("sarif_report", f"SELECT CAST(doc_id AS VARCHAR) AS path, 1 AS start_line, CAST(to_json({{'ruleId': 'long_hex', 'message': {{'text': 'a long hexadecimal string'}}, 'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': CAST(doc_id AS VARCHAR)}}, 'region': {{'startLine': 1, 'endLine': CAST(len(string_split(text, chr(10))) AS INTEGER)}}}}}}]}}) AS VARCHAR) AS value FROM documents WHERE regexp_matches(text, '{HEX}')")
 def sarif_report(s, d):
-    found = t(s, d, "documents").where(F.col("text").rlike("[0-9a-f]{32}")).select(F.lit("long_hex").alias("rule"), F.lit("a long hexadecimal string").alias("message"), F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"))
-    return facts.to_sarif(found, "quern")
+    """A result in each row; `write_sarif` puts them into one document."""
+    found = t(s, d, "documents").where(F.col("text").rlike(HEX)).select(F.lit("long_hex").alias("rule"), F.lit("a long hexadecimal string").alias("message"), F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n")).alias("end_line"))
+    return facts.sarif_results(found)
 
 
-@register("stream_typestate")
+@register("stream_typestate", f"SELECT user_id, state, violations FROM ({SQL['typestate_batch']})")
 def stream_typestate(s, d):
     """The protocol over the events as a file stream, run to its end; the last state of each user."""
     from .streaming.typestate import protocol_stream
 
-    context = s.sparkContext
-    at = s.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="quern-")
-    run = context._jvm.java.util.UUID.randomUUID().toString()
+    at, run = graph.shared_folder(s), s.sparkContext._jvm.java.util.UUID.randomUUID().toString()
     src = t(s, d, "events")
     stream = s.readStream.schema(src.schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     out = protocol_stream(stream, "user_id", "ts", "event_id", "event_type", PROTOCOL, "new", {"error"})
@@ -522,6 +522,26 @@ def stream_typestate(s, d):
     return s.read.parquet(sink).groupBy("user_id").agg(F.max_by(F.struct("state", "violations"), "batch").alias("l")).select("user_id", "l.state", "l.violations")
 
 
+@register("windowed_counts", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_counts(s, d):
+    """The windows that a stream keeps, over the events at rest."""
+    from .streaming.typestate import windowed_counts as counts
+
+    return counts(t(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 day").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@register("refresh_facts", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'changed' ELSE o_orderstatus END AS state FROM orders")
+def refresh_facts(s, d):
+    """A table of facts of which some files change: their rows are replaced, the others stay."""
+    from .streaming.typestate import current, refresh
+
+    at = f"{graph.shared_folder(s)}/facts-{s.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    rows = t(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("path"), "o_orderkey", F.col("o_orderstatus").alias("state"))
+    refresh(s, rows, at)
+    refresh(s, rows.where("state = 'P'").withColumn("state", F.lit("changed")), at)
+    return current(s, at).select("o_orderkey", "state")
+
+
 def queries() -> dict[str, Query]:
     return QUERIES | step_queries.QUERIES | policy_queries.QUERIES
 

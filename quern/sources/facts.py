@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NODES = "path string, language string, id string, node_id int, kind string, name string, text string, start_byte long, end_byte long, start_line int, end_line int, parent int, subtree_end int"
@@ -166,9 +166,32 @@ def to_json_rows(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias("value"))
 
 
-def to_sarif(findings: DataFrame, tool: str) -> DataFrame:
-    """One document; findings have rule, message, path, start_line, end_line. A report is a bounded list by its nature."""
+def sarif_results(findings: DataFrame) -> DataFrame:
+    """path, start_line, value: a SARIF result for each finding (rule, message, path, start_line, end_line)."""
     region = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine")).alias("region")).alias("physicalLocation"))
     result = F.struct(F.col("rule").alias("ruleId"), F.struct(F.col("message").alias("text")).alias("message"), F.array(region).alias("locations"))
-    run = F.struct(F.struct(F.struct(F.lit(tool).alias("name")).alias("driver")).alias("tool"), F.array_sort(F.collect_list(result)).alias("results"))
-    return findings.agg(run.alias("run")).select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array("run").alias("runs"))).alias("value"))
+    return findings.select("path", "start_line", F.to_json(result).alias("value"))
+
+
+def write_sarif(findings: DataFrame, tool: str, at: str) -> None:
+    """One SARIF document in the folder `at`, a line for each result in order; the writer streams the lines, no cell holds them all."""
+    spark = findings.sparkSession
+    lines = sarif_results(findings).select(F.lit(1).alias("part"), "path", "start_line", "value")
+    head = json.dumps({"version": "2.1.0", "runs": [{"tool": {"driver": {"name": tool}}, "results": []}]}).removesuffix("]}]}")
+    ends = spark.createDataFrame([(0, "", 0, head), (2, "", 0, "]}]}")], "part int, path string, start_line int, value string")
+    every = lines.union(ends)
+    before = F.lag("part").over(Window.orderBy("part", "path", "start_line", "value"))
+    every.select(F.when((F.col("part") == 1) & (before == 1), F.concat(F.lit(","), "value")).otherwise(F.col("value")).alias("value")).write.text(at)
+
+
+def read_facts(spark: SparkSession, at: str) -> dict[str, DataFrame]:
+    """The fact tables of a folder: each subfolder is a Parquet table, bucketed or partitioned as it was written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return {f.getPath().getName(): spark.read.parquet(f.getPath().toString()) for f in found if f.isDirectory()}
+
+
+def write_facts(facts: dict[str, DataFrame], at: str) -> None:
+    """Writes fact tables sorted by path within their files, so that a path's rows are found by the files' statistics."""
+    for name, rows in facts.items():
+        (rows.sortWithinPartitions("path") if "path" in rows.columns else rows).write.parquet(f"{at}/{name}")

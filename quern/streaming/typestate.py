@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,26 +13,44 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 Transitions = dict[tuple[str, str], str]
 
 
-def protocol_stream(events: DataFrame, by: str, at: str, tie: str, symbol: str, transitions: Transitions, initial: str, errors: set[str], late: str = "1 day") -> DataFrame:
-    """by, state, violations, last_ts whenever a subject has had new events; events within the watermark are taken in order of
-    (at, tie) within a trigger, later ones leave the state as it is. State is one word and two numbers for a subject."""
+def protocol_stream(events: DataFrame, by: str, at: str, tie: str, symbol: str, transitions: Transitions, initial: str, errors: set[str], late: str = "1 day", keep_ms: int | None = None) -> DataFrame:
+    """by, state, violations, last_us whenever a subject has had new events, in the order of (at, tie) over all triggers.
+
+    Events wait until the watermark has passed them, so one that arrives late, within `late`, still takes its place; what is
+    given out counts the waiting ones in. State is a word, two numbers and the waiting events: those of one subject within `late`. With
+    keep_ms, a subject's state is removed once the watermark is so far past its last event."""
+
+    def run(now: str, bad: int, rows: list) -> tuple[str, int]:
+        for _, _, s in rows:
+            now = transitions.get((now, s), now)
+            bad += now in errors
+        return now, bad
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, bad, done, waiting = state.get if state.exists else (initial, 0, -(1 << 62), "[]")
+        mark = state.getCurrentWatermarkMs() * 1000
+        rows = [tuple(r) for r in json.loads(waiting)]
         if state.hasTimedOut:
             state.remove()
             return
-        now, bad, last = state.get if state.exists else (initial, 0, 0)
-        new = pd.concat(list(batches)).sort_values([at, tie], kind="stable")
-        for t, s in zip(new[at].astype("int64") // 1000, new[symbol]):
-            if t >= last:
-                now, last = transitions.get((now, s), now), int(t)
-                bad += now in errors
-        state.update((now, bad, last))
+        for pdf in batches:
+            rows += [(t, int(i), s) for t, i, s in zip(pdf[at].astype("datetime64[us]").astype("int64").tolist(), pdf[tie], pdf[symbol]) if t > done]
+        rows.sort()
+        sure = [r for r in rows if r[0] <= mark]
+        now, bad = run(now, bad, sure)
+        done = max([done, *(r[0] for r in sure)])
+        rest = rows[len(sure) :]
+        state.update((now, bad, done, json.dumps(rest)))
+        last = max([done, *(r[0] for r in rest)])
+        if keep_ms is not None:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, last // 1000 + keep_ms))
+        now, bad = run(now, bad, rest)
         yield pd.DataFrame({by: [key[0]], "state": [now], "violations": [bad], "last_us": [last]})
 
     kind = dict(events.dtypes)[by]
     kept = events.select(by, at, tie, symbol).withWatermark(at, late)
-    return kept.groupBy(by).applyInPandasWithState(fold, f"{by} {kind}, state string, violations long, last_us long", "state string, violations long, last_us long", "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.EventTimeTimeout
+    return kept.groupBy(by).applyInPandasWithState(fold, f"{by} {kind}, state string, violations long, last_us long", "state string, violations long, done_us long, waiting string", "update", timeout)
 
 
 def windowed_counts(events: DataFrame, at: str, keys: list[str], size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:

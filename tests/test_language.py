@@ -7,7 +7,7 @@ from quern.functions import scalars
 from quern.operators import graph, reports, steps
 from quern.plans import query as language
 from quern.schema import DOMAINS, PlanError, kinds_below
-from quern.sources.facts import html_nodes, python_facts, to_sarif
+from quern.sources.facts import html_nodes, python_facts, read_facts, sarif_results, write_facts, write_sarif
 
 FILES = {
     "src/app.py": "from src.service import audit, Base\n\nclass App(Base):\n    def handle(self, value):\n        return audit(value, level=2)\n\ndef main():\n    main()\n    App().handle(1)\n",
@@ -120,7 +120,7 @@ def test_reports(spark):
     handlers = spark.createDataFrame([("h", "Throwable", 0, False, False), ("k", "Exception", 6, False, False)], "id string, caught string, statements int, comment_only boolean, log_only boolean")
     assert [(r.id, r.score) for r in reports.exception_smells(handlers).collect()] == [("h", 10)]
     found = spark.createDataFrame([("r", "m", "p.py", 1, 2)], "rule string, message string, path string, start_line int, end_line int")
-    assert '"ruleId":"r"' in to_sarif(found, "t").head()[0]
+    assert '"ruleId":"r"' in sarif_results(found).head().value
 
 
 def test_html(spark):
@@ -136,3 +136,47 @@ def test_refresh(spark, tmp_path):
     refresh(spark, spark.createDataFrame([("a", 1), ("b", 1)], "path string, v int"), at)
     refresh(spark, spark.createDataFrame([("b", 2)], "path string, v int"), at)
     assert {tuple(r) for r in current(spark, at).collect()} == {("a", 1), ("b", 2)}
+
+
+def test_sarif_document(spark, tmp_path):
+    import json
+
+    rows = [("r", "m", p, i, i + 1) for p in ("b", "a") for i in range(3)]
+    found = spark.createDataFrame(rows, "rule string, message string, path string, start_line int, end_line int").repartition(3)
+    for name, df in (("some", found), ("none", found.limit(0))):
+        write_sarif(df, "t", str(tmp_path / name))
+        text = "\n".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+        results = json.loads(text)["runs"][0]["results"]
+        assert [(r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"], r["locations"][0]["physicalLocation"]["region"]["startLine"]) for r in results] == (sorted((p, i) for _, _, p, i, _ in rows) if name == "some" else [])
+
+
+def test_facts_on_disk(spark, tmp_path):
+    facts = python_facts(spark, {"a.py": "def f():\n    return g()\n\ndef g():\n    return 1\n"})
+    write_facts({k: facts[k] for k in ("declarations", "calls")}, str(tmp_path / "facts"))
+    back = read_facts(spark, str(tmp_path / "facts"))
+    assert set(back) == {"declarations", "calls"} and {r.id for r in back["declarations"].collect()} == {r.id for r in facts["declarations"].collect()}
+
+
+def test_late_events_take_their_place(spark, tmp_path):
+    from quern.streaming.typestate import protocol_stream
+
+    table = {("new", "open"): "open", ("open", "read"): "read", ("new", "read"): "error", ("error", "open"): "open"}
+    files = [[(1, 1, 10, "open"), (2, 2, 10, "read")], [(1, 3, 30, "read"), (2, 4, 5, "open")], [(1, 5, 20, "read"), (3, 6, 50, "open")]]
+    for k, rows in enumerate(files):
+        df = spark.createDataFrame(rows, "who long, tie long, s long, what string").selectExpr("who", "tie", "timestamp_seconds(s) as at", "what")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{k}"))
+    import os
+    import shutil
+    import time
+
+    os.makedirs(tmp_path / "all")
+    for k in range(3):
+        for f in (tmp_path / "in" / f"{k}").glob("*.parquet"):
+            shutil.copy(f, tmp_path / "all" / f"{k}-{f.name}")
+            os.utime(tmp_path / "all" / f"{k}-{f.name}", (time.time() + k, time.time() + k))
+    seen = {}
+    stream = spark.readStream.schema("who long, tie long, at timestamp, what string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all"))
+    out = protocol_stream(stream, "who", "at", "tie", "what", table, "new", {"error"}, "1 minute", keep_ms=3_600_000)
+    q = out.writeStream.outputMode("update").foreachBatch(lambda b, n: seen.update({r.who: (r.state, r.violations) for r in b.collect()})).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert seen == {1: ("read", 0), 2: ("read", 0), 3: ("open", 0)}
