@@ -282,6 +282,18 @@ def test_byte_bpe(spark, rows):
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in decoded.collect())
 
 
+def test_byte_bpe_of_very_long_texts(spark):
+    rng = random.Random(3)
+    long = " ".join(rng.choice(["lorem", "ipsum.", "dolor,\n", "é́x", "12345", "don't"]) for _ in range(900_000))
+    rows = [(1, long), (1, long), (2, long[:70_000]), (3, "x" * 200_000), (4, " " * 100_000), (None, long[5:90_000]), (5, None)]
+    enc = byte_bpe.encoding(byte_bpe.public_tokenizers.path(byte_bpe.VOCABULARY))
+    want = []
+    for d, t in rows:
+        ids = np.asarray(enc.encode_ordinary(t or ""), "<u4")
+        want.append((d, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(map(tuple, byte_bpe.digests(byte_bpe.encode_documents(table(spark, rows))).collect()), key=str) == sorted(want, key=str)
+
+
 def test_chunks_stitch_where_boundaries_agree():
     path = byte_bpe.public_tokenizers.path(byte_bpe.VOCABULARY)
     rng = random.Random(2)
@@ -450,6 +462,27 @@ def test_decontamination_of_reordered_items(spark):
     assert got == want and {(60, 6), (70, 7), (80, 8), (900, 22), (901, 20)} <= set(got)
 
 
+def test_long_texts_and_ties(spark):
+    """Texts above what one pass takes on, tied and null doc_ids: what is right is what many short passes would give."""
+    rng = random.Random(17)
+    long = prose(rng, 600_000, 10**5)
+    assert len(long.encode()) > 4 << 20
+    rows = [(1, long), (1, "tied " * 60), (None, None), (None, long[:3000]), (2, "AKIA1234567890ABCD " + long[:100] + " password=abcdefghijkl " + long), (3, long + " end")]
+    docs = table(spark, rows)
+    words = {d: len(WORD.findall(t or "")) for d, t in rows if d in (2, 3)}
+    assert {r.doc_id: r.n_words for r in token_counts.token_counts(docs).collect() if r.doc_id in (2, 3)} == words
+    secrets = [r for r in secret_scan.secret_report(docs).collect() if r.doc_id == 2]
+    assert [(r.n_assign, r.n_access) for r in secrets] == [(1, 1)]
+    spans = {r.doc_id: r for r in sentence_spans.span_report(docs).collect() if r.doc_id == 3}
+    assert spans[3].n_removed >= spans[3].n_sentences - 2
+    near = [(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(docs).collect()]
+    assert {c for d, c in near if d in (1, 2, 3)} == {1} and len(near) == len(rows)
+    bench = spark.createDataFrame([(7, " ".join(long.split()[500_000:500_040]))], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()} == {(1, 7), (2, 7), (3, 7)}
+    crossing = table(spark, [(None, "aa b"), (1, None), (1, "aa b"), (1, "aa b"), (None, "")])
+    assert sorted(map(tuple, token_counts.token_counts(crossing, [b"aa", b"b"]).collect()), key=str) == sorted([(None, 2, 2, 4), (1, 0, 0, 0), (1, 2, 2, 4), (1, 2, 2, 4), (None, 0, 0, 0)], key=str)
+
+
 def greedy(word, tokens, prefix=b""):
     i = n = 0
     while i < len(word):
@@ -511,5 +544,24 @@ def test_quality_rules(spark, rows):
                 lines.add(line)
         want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(again))
         assert any((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want and r.base_failed == (len(w) < 50 or 100 * len(again) > 50 * len(w)) for r in got[d])
+    # The method's shares and verdict, word by word.
+    for d, t in rows:
+        w = WORD.findall(t or "")
+        chars = max(1, sum(map(len, w)))
+        shares = {}
+        for n in quality_rules.GRAM_LIMITS:
+            seen, inside = set(), set()
+            for k in range(len(w) - n + 1):
+                inside |= set(range(k, k + n)) if tuple(w[k : k + n]) in seen else set()
+                seen.add(tuple(w[k : k + n]))
+            shares[f"dup_{n}gram_share"] = sum(len(w[k]) for k in inside) / chars
+        lines, again = set(), 0
+        for line in (t or "").split("\n"):
+            if WORD.search(line):
+                again += sum(map(len, WORD.findall(line))) if line in lines else 0
+                lines.add(line)
+        shares["dup_line_share"] = again / chars
+        good = shares["dup_line_share"] <= quality_rules.LINE_LIMIT and len(re.findall(r"[#*$%&|<>]", t or "")) <= quality_rules.SYMBOL_LIMIT * len(w) and all(shares[f"dup_{n}gram_share"] <= most for n, most in quality_rules.GRAM_LIMITS.items())
+        assert any(all(abs(r[k] - v) < 1e-12 for k, v in shares.items()) and r.kept == (good and not r.base_failed) for r in got[d])
     kept = quality_rules.quality_filter(table(spark, rows))
     assert kept.count() == sum(r.kept for v in got.values() for r in v) and kept.columns == ["doc_id", "text", *CLASH]
