@@ -77,6 +77,57 @@ def reachable(seeds: DataFrame, edges: DataFrame, blocked: DataFrame | None = No
         rounds.append(frontier)
 
 
+def dominated_out(rows: DataFrame) -> DataFrame:
+    """Of the qualities (proven, complete) of a (node, fact), those that no other one of it is above."""
+    best = rows.groupBy("node", "fact").agg(F.max(F.col("proven") & F.col("complete")).alias("both"))
+    one = rows.join(best, ["node", "fact"])
+    return one.where((F.col("proven") & F.col("complete")) | (~F.col("both") & (F.col("proven") | F.col("complete"))) | (~F.col("both") & ~F.col("proven") & ~F.col("complete"))).drop("both")
+
+
+def tabulate(seeds: DataFrame, flows: DataFrame) -> DataFrame:
+    """node, fact, proven, complete, depth, from_node, from_fact: the facts that hold at nodes of an exploded graph.
+
+    seeds: node, fact, entered proven and complete. flows: src, fact_in, dst, fact_out, proven, complete: a transfer along an edge, a
+    call, a return or a summary alike. Qualities are conjoined along a path; a row that brings nothing above what its (node, fact) has is
+    not followed. The loop is semi-naive: each round follows and writes its new rows alone, with the row each came from."""
+    columns = ["node", "fact", "proven", "complete", "depth", "from_node", "from_fact"]
+    start = seeds.select("node", "fact").distinct().select("node", "fact", F.lit(True).alias("proven"), F.lit(True).alias("complete"), F.lit(0).alias("depth"), F.lit(None).cast(seeds.schema["node"].dataType).alias("from_node"), F.lit(None).cast(seeds.schema["fact"].dataType).alias("from_fact"))
+    frontier = cut_lineage(start)
+    rounds = [frontier]
+    step = flows.select("src", "fact_in", "dst", "fact_out", F.col("proven").alias("_p"), F.col("complete").alias("_c"))
+    while True:
+        met = frontier.join(step, (F.col("node") == F.col("src")) & (F.col("fact") == F.col("fact_in")))
+        found = met.select(F.col("dst").alias("n"), F.col("fact_out").alias("f"), (F.col("proven") & F.col("_p")).alias("p"), (F.col("complete") & F.col("_c")).alias("c"), F.col("node").alias("from_node"), F.col("fact").alias("from_fact"))
+        found = found.groupBy(F.col("n").alias("node"), F.col("f").alias("fact"), F.col("p").alias("proven"), F.col("c").alias("complete")).agg(F.min(F.struct("from_node", "from_fact")).alias("by")).select("node", "fact", "proven", "complete", F.lit(len(rounds)).alias("depth"), "by.from_node", "by.from_fact")
+        old = together(rounds).select(F.col("node").alias("_n"), F.col("fact").alias("_f"), F.col("proven").alias("_p"), F.col("complete").alias("_c"))
+        above = (F.col("node") == F.col("_n")) & (F.col("fact") == F.col("_f")) & (F.col("_p") | ~F.col("proven")) & (F.col("_c") | ~F.col("complete"))
+        frontier = cut_lineage(dominated_out(found.join(old, above, "left_anti").select(*columns)).select(*columns))
+        if frontier.isEmpty():
+            return dominated_out(together(rounds)).select(*columns)
+        rounds.append(frontier)
+
+
+def witnesses(reached: DataFrame, ends: DataFrame) -> DataFrame:
+    """node, fact, path of each end (node, fact): the nodes from a seed to it, by the rows that each came from, one round for each hop."""
+    by = reached.groupBy("node", "fact").agg(F.min(F.struct("depth", "from_node", "from_fact")).alias("b")).select(F.col("node").alias("_n"), F.col("fact").alias("_f"), F.col("b.from_node").alias("_fn"), F.col("b.from_fact").alias("_ff"))
+    by = cut_lineage(by)
+    now = ends.select("node", "fact", F.array("node").alias("path"), F.col("node").alias("at"), F.col("fact").alias("with"))
+    done = []
+    while True:
+        met = cut_lineage(now.join(by, (F.col("at") == F.col("_n")) & (F.col("with") == F.col("_f"))))
+        done.append(met.where("_fn is null").select("node", "fact", "path"))
+        now = met.where("_fn is not null").select("node", "fact", F.concat(F.array("_fn"), "path").alias("path"), F.col("_fn").alias("at"), F.col("_ff").alias("with"))
+        if now.isEmpty():
+            return together(done)
+
+
+def summaries(reached: DataFrame, exits: DataFrame) -> DataFrame:
+    """entry_fact, exit, exit_fact, proven, complete of one procedure's tabulation from labelled seeds (fact is `entry>fact`): what may be
+    put in a caller's graph as one flow, so that the procedure is not entered again."""
+    parts = F.split(F.col("fact"), ">")
+    return reached.join(exits.select("node"), "node", "left_semi").select(parts[0].alias("entry_fact"), F.col("node").alias("exit"), parts[1].alias("exit_fact"), "proven", "complete").distinct()
+
+
 def rewrite_chase(starts: DataFrame, rules: DataFrame, bound: int) -> DataFrame:
     """id, steps, outcome, fixed_point of following the rules (src, dst) from each id: converged at an id without a
     rule or with itself as target, cycle, or exceeded_budget after `bound` steps."""

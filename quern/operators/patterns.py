@@ -12,11 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import anchors, matches
-from ..schema import PlanError, kinds_below
+from ..schema import PlanError, checked, kinds_below
 
 SINGLE_ROLES = ("callee", "receiver", "left", "right", "object", "module", "field")
 CALLABLE = kinds_below("callable")
-KEYS = {"kind", "not_kind", "name", "name_regex", "text", "arity", "args", "kwargs", "decorators", "has", "not_has", "inside", "inside_decl", "not_inside", "capture", *SINGLE_ROLES}
+KEYS = {"kind", "not_kind", "name", "name_regex", "text", "arity", "args", "kwargs", "decorators", "has", "not_has", "inside", "inside_decl", "not_inside", "capture", "visibility", "parameter_type", *SINGLE_ROLES}
 DEPTH, SIZE = 64, 256
 
 
@@ -52,6 +52,10 @@ def own(pattern: dict) -> Column:
     if "text" in pattern:
         tests += [F.col("text").contains(a) for a in anchors(pattern["text"])]
         tests.append(F.col("text").rlike(pattern["text"]))
+    if "visibility" in pattern:
+        tests.append(F.col("visibility").isin(*checked("visibility", pattern["visibility"])))
+    if "parameter_type" in pattern:  # any parameter's
+        tests.append(F.coalesce(F.exists("parameter_types", lambda p: matches(p, pattern["parameter_type"])), F.lit(False)))
     return reduce(Column.__and__, tests)
 
 

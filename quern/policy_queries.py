@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .operators import graph, navigation, reports
-from .plans import assertions
+from .operators import graph, navigation, patterns, reports
+from .plans import assertions, policy
 from .plans.relational import EXPANSIONS, Bound, Compiled, Expand, Plan, Project, Source, selected_in_winning_tier, step_expansions
 from .workspace import Workspace, with_facts
 
@@ -217,3 +217,66 @@ def _cfg(w: Workspace) -> DataFrame:
     points = w["points"].select(F.col("procedure_id").alias("procedure"), F.col("id").alias("point"), "boundary").join(mine, "procedure", "left_semi")
     edges = w["control_edges"].join(points.select(F.col("point").alias("src"), "procedure"), "src").select("procedure", "src", "dst")
     return graph.control_facts(points, edges).select("relation", "a", "b")
+
+
+@register("pattern_visibility", "SELECT id FROM lines WHERE flag = 'R' AND qty > 10")
+def _visible(w: Workspace) -> DataFrame:
+    nodes = w["nodes"].where("kind = 'method'").withColumn("visibility", F.when(F.col("name") == "R", "public").otherwise("private")).join(w["lines"].select((-1 - F.col("id")).alias("id"), F.when(F.col("qty") > 10, F.array(F.lit("int"), F.lit("String"))).alias("parameter_types")), "id")
+    return patterns.matching({"kind": "callable", "visibility": ["public", "protected"], "parameter_type": "^Str"}, nodes, w["roles"]).select((-1 - F.col("id")).alias("id"))
+
+
+# Tabulation: the facts x (from the entry) and y (made from x by a step up that is divisible by three) over the parts' hierarchy.
+UPS = "ups AS (SELECT id AS src, up AS dst, p % 5 <> 0 AS proven, p % 3 <> 0 AS complete, p FROM libs WHERE up IS NOT NULL)"
+TAB = f"WITH RECURSIVE {UPS}, r AS (SELECT id AS node, 'x' AS fact, TRUE AS proven, TRUE AS complete FROM libs WHERE size = 3 UNION SELECT dst, CASE WHEN p % 7 = 0 THEN 'y' ELSE fact END, r.proven AND ups.proven, r.complete AND ups.complete FROM r JOIN ups ON r.node = src)"
+
+
+def hierarchy(w: Workspace) -> tuple[DataFrame, DataFrame]:
+    ups = w["libs"].where("up is not null")
+    fact = F.explode(F.array(F.lit("x"), F.lit("y"))).alias("fact_in")
+    flows_ = ups.select(F.col("id").alias("src"), fact, F.col("up").alias("dst"), "p").select("src", "fact_in", "dst", F.when(F.col("p") % 7 == 0, "y").otherwise(F.col("fact_in")).alias("fact_out"), (F.col("p") % 5 != 0).alias("proven"), (F.col("p") % 3 != 0).alias("complete"))
+    return w["libs"].where("size = 3").select(F.col("id").alias("node"), F.lit("x").alias("fact")), flows_
+
+
+register("flow_tabulation", f"{TAB} SELECT node, fact, proven, complete FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.node = r.node AND o.fact = r.fact AND o.proven >= r.proven AND o.complete >= r.complete AND (o.proven > r.proven OR o.complete > r.complete))")(
+    lambda w: col(graph.tabulate(*hierarchy(w)), "node", "fact", "proven", "complete"))
+
+
+@register("flow_witnesses", f"WITH RECURSIVE {UPS}, r AS (SELECT id AS node, 0 AS k FROM libs WHERE size = 3 UNION SELECT dst, k + 1 FROM r JOIN ups ON node = src) SELECT node, CAST(min(k) + 1 AS INTEGER) AS hops, TRUE AS starts_at_seed FROM r GROUP BY 1")
+def _witnesses(w: Workspace) -> DataFrame:
+    """A shortest way from a seed to every node reached."""
+    seeds, flows_ = hierarchy(w)
+    plain = flows_.where("fact_in = 'x'").withColumn("fact_out", F.lit("x")).withColumn("proven", F.lit(True)).withColumn("complete", F.lit(True))
+    reached = graph.tabulate(seeds, plain)
+    paths = graph.witnesses(reached, reached.select("node", "fact").distinct())
+    first = paths.select("node", F.size("path").alias("hops"), F.get("path", F.lit(0)).alias("_seed"))
+    return first.join(col(seeds, "_s=node"), F.col("_seed") == F.col("_s"), "left").select("node", "hops", F.col("_s").isNotNull().alias("starts_at_seed"))
+
+
+@register("flow_summaries", f"WITH RECURSIVE {UPS}, r AS (SELECT id AS entry, id AS node, TRUE AS proven, TRUE AS complete FROM libs WHERE size = 5 UNION SELECT entry, dst, r.proven AND ups.proven, r.complete AND ups.complete FROM r JOIN ups ON r.node = src) SELECT CAST(entry AS STRING) AS entry_fact, node AS exit, proven, complete FROM r WHERE node = -1")
+def _summaries(w: Workspace) -> DataFrame:
+    """Each entry's fact at the root, as one flow for callers."""
+    seeds = w["libs"].where("size = 5").select(F.col("id").alias("node"), F.concat(F.col("id").cast("string"), F.lit(">x")).alias("fact"))
+    labels = col(seeds, "fact")
+    ups = w["libs"].where("up is not null").select(F.col("id").alias("src"), F.col("up").alias("dst"), (F.col("p") % 5 != 0).alias("proven"), (F.col("p") % 3 != 0).alias("complete"))
+    chain = graph.closure(col(seeds, "id=node"), ups.select("src", "dst")).select(F.concat(F.col("root").cast("string"), F.lit(">x")).alias("fact"), F.col("id").alias("at")).union(seeds.select("fact", F.col("node").alias("at")))
+    flows_ = ups.join(chain, F.col("src") == F.col("at")).select("src", F.col("fact").alias("fact_in"), "dst", F.col("fact").alias("fact_out"), "proven", "complete")
+    return graph.summaries(graph.tabulate(seeds.join(labels.distinct(), "fact", "left_semi").select("node", "fact"), flows_), w["libs"].where("p = 0").select(F.col("id").alias("node"))).select("entry_fact", "exit", "proven", "complete")
+
+
+# Policies.
+RULES = [
+    policy.Policy("no-returned-calls", "match", {"match": {"kind": "call", "name": "R", "text": "F"}}, "low", 1120),
+    policy.Policy("reads-are-fresh", "typestate", {"declarations": {"kind": "method", "name": "A"}, "steps": [{"op": "procedure_of"}, {"op": "typestate", "protocol": "fresh_reads"}]}, "high", 672),
+    policy.Policy("no-unclean-values", "taint", {"declarations": {"kind": "method", "name": "R"}, "steps": [{"op": "procedure_of"}, {"op": "taint", "taint": "unclean"}]}, "critical", 79),
+    policy.Policy("own-members-first", "assertion", {"occurrences": {"name": "click"}}, "medium", None, lambda rows, facts: assertions.resolution(rows, facts["candidates"], expect_tier="own_member")),
+]
+FOUND = "SELECT 'no-returned-calls' AS policy, 'low' AS severity, 1120 AS cwe, path, CAST(id AS STRING) AS subject FROM lines WHERE flag = 'R' AND status = 'F' UNION ALL SELECT 'reads-are-fresh', 'high', 672, path, CAST(id AS STRING) || '#fresh_reads' FROM lines WHERE flag = 'A' AND (qty > 40 OR qty < 10) UNION ALL SELECT 'no-unclean-values', 'critical', 79, path, CAST(id * 8 AS STRING) || '#' || CAST(id * 8 + 3 AS STRING) FROM lines WHERE flag = 'R' AND status = 'F' AND NOT qty < 10 UNION ALL SELECT 'own-members-first', 'medium', NULL, path, CAST(id AS STRING) FROM occurrences WHERE name = 'click' AND id NOT IN (SELECT occurrence_id FROM candidates WHERE selected)"
+register("policy_run", f"SELECT policy, severity, cwe, path, subject, sha256('finding' || chr(0) || policy || chr(0) || path || chr(0) || subject) AS finding_id FROM ({FOUND})")(lambda w: policy.findings(RULES, w))
+register("policy_precedence", "SELECT path, CAST(id AS STRING) AS subject, CASE WHEN qty > 30 THEN 'large' ELSE 'all' END AS policy FROM lines WHERE flag = 'R'")(
+    lambda w: policy.settled(w["lines"].where("flag = 'R'").select("path", F.col("id").cast("string").alias("subject"), F.explode(F.when(F.col("qty") > 30, F.array(F.lit("all"), F.lit("large"))).otherwise(F.array(F.lit("all")))).alias("policy")), ["large"]).select("path", "subject", "policy"))
+register("policy_explain", "SELECT 0 AS step, count(*) AS n FROM lines WHERE flag = 'A' UNION ALL SELECT 1, count(*) FROM lines WHERE flag = 'A' UNION ALL SELECT 2, count(*) FROM lines WHERE flag = 'A' AND (qty > 40 OR qty < 10)")(lambda w: policy.explained(RULES[1], w))
+CATALOG = policy.Endpoints({"eleven": {"declarations": {"name": "Brand#11"}}, "twelve": {"declarations": {"name": "Brand#12"}}, "callers": {"declarations": {"name": "Brand#1"}, "steps": [{"op": "members"}]}})
+register("policy_endpoints", "SELECT id FROM libs WHERE brand IN ('Brand#11', 'Brand#12') AND (up IS NULL OR up NOT IN (SELECT id FROM libs WHERE brand = 'Brand#1'))")(lambda w: CATALOG.rows(w, ["eleven", "twelve"], ["callers"]).select("id"))
+register("report_symbol_search", "SELECT p_partkey AS id FROM part WHERE p_name LIKE '%ring%' ORDER BY p_partkey LIMIT 20")(
+    lambda w: col(reports.symbol_search(w.tables["part"].select(F.col("p_partkey").alias("id"), F.col("p_name").alias("short_name"), F.col("p_name").alias("fq_name"), F.lit("p").alias("path")), "ring"), "id"))
+register("report_test_files", f"SELECT path FROM ({PATHS}) WHERE path LIKE '%test%'")(lambda w: reports.test_files(w.spark.sql(PATHS.replace("FROM supplier", "FROM {supplier}"), supplier=w.tables["supplier"])).where("is_test").select("path"))

@@ -180,3 +180,38 @@ def test_late_events_take_their_place(spark, tmp_path):
     q = out.writeStream.outputMode("update").foreachBatch(lambda b, n: seen.update({r.who: (r.state, r.violations) for r in b.collect()})).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert seen == {1: ("read", 0), 2: ("read", 0), 3: ("open", 0)}
+
+
+def test_saved_queries_and_models(spark, tmp_path):
+    from quern.plans import query as language
+    from quern.sources.facts import load_models, load_queries
+
+    (tmp_path / "calls.rql").write_text('(query (call (name "f")) (limit 3))')
+    (tmp_path / "decls.json").write_text('{"declarations": {"kind": "class"}, "limit": 5}')
+    saved = {r.name: r.query for r in load_queries(spark, str(tmp_path)).collect()}
+    assert language.check(language.parse(saved["calls"])) == "match" and language.check(language.parse(saved["decls"])) == "declaration"
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "models.json").write_text('{"package": "p", "type": "T", "name": "read", "kind": "source"}\n')
+    assert [(r.package, r.name, r.subtypes) for r in load_models(spark, str(tmp_path / "m")).collect()] == [("p", "read", None)]
+
+
+def test_policies_are_checked():
+    from quern.plans.policy import Endpoints, Policy, check
+    from quern.schema import PlanError
+
+    seed = {"declarations": {"kind": "class"}}
+    for bad in ([Policy("a", "lint", seed)], [Policy("a", "match", seed), Policy("a", "match", seed)], [Policy("a", "taint", seed)], [Policy("a", "assertion", seed)], [Policy("a", "match", {"nothing": {}})]):
+        with pytest.raises(PlanError):
+            check(bad)
+    with pytest.raises(PlanError):
+        Endpoints({"a": seed, "b": {"files": {}}}).rows({}, ["a"], ["b"])
+
+
+def test_control_flow_of_branches_and_loops():
+    from quern.operators import graph
+
+    edges = [(0, 1), (1, 2), (1, 3), (2, 4), (3, 4), (4, 1), (4, 5)]
+    assert graph.postdominators([5], edges)[1] == {1, 4, 5}
+    assert graph.control_dependence([5], edges) == {(2, 1), (3, 1), (1, 4), (4, 4)}
+    assert graph.loop_regions(0, edges) == {1: {1, 2, 3, 4}} and graph.depth_first(0, edges) == [0, 1, 2, 4, 5, 3]
+    assert graph.postdominators([], []) == {} and graph.loop_regions(0, []) == {}
