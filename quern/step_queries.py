@@ -19,8 +19,8 @@ SQL: dict[str, str] = {}
 
 def register(name: str, query: dict | str, columns: str, sql: str) -> None:
     """columns: names, or `new=old`."""
-    chosen = [F.col(c.split("=")[-1]).alias(c.split("=")[0]) for c in columns.split()]
-    QUERIES[name] = lambda s, d: language.every(query, Workspace(s, d)).select(*chosen)
+    chosen = [(c.split("=")[-1], c.split("=")[0]) for c in columns.split()]
+    QUERIES[name] = lambda s, d: language.every(query, Workspace(s, d)).select(*(F.col(old).alias(new) for old, new in chosen))
     SQL[name] = with_facts(sql)
 
 
