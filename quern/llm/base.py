@@ -6,6 +6,7 @@ passes over one buffer and no Python string is made for a word. A null text is a
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -98,6 +99,13 @@ def clear(spark: SparkSession) -> int:
     return n
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what finished jobs leave on the driver: plans, generated classes, and, through Spark's cleaner, the shuffle
+    files and broadcasts that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_of(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary array, and the len + 1 offsets of its rows; null is empty."""
     if isinstance(array, pa.ChunkedArray):

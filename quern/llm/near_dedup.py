@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import LOWER, U, docs_only, grams, mix, per_row, range_hashes, rows_of, slices, text_of, tuned, within_rows, words_of, written
+from .base import LOWER, U, docs_only, grams, mix, per_row, range_hashes, rows_of, slices, text_of, tidy, tuned, within_rows, words_of, written
 from .components import connected
 from .quality_rules import repeats
 
@@ -232,6 +232,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, trees: in
     shared = classes.join(nodes.select(F.col("doc").alias("id")).distinct(), "id", "left_semi").select("id", F.col("doc").alias("doc_id"), "t")
     texts = written(hashed(docs).join(shared, ["doc_id", "t"]).dropDuplicates(["id"]).select(F.col("id").alias("doc"), "text"))
     links = written(confirmed(sketched(pairs, members), texts, size, percent).union(same_number(known, classes)))
+    tidy(docs.sparkSession)
     labels = connected(links, 2)
 
     # Nodes that hold more than one component; what is settled further is left to the end.
@@ -242,6 +243,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, trees: in
             break
         still = written(unsettled(branches(large.join(members.select("doc", "sketch"), "doc").select("node", "doc", "k", "sketch"), trees).distinct(), labels))
         leaves = leaves.where("n = 1").union(still)
+    tidy(docs.sparkSession)
     more = blocks(leaves).join(texts, "doc").groupBy("node", "i", "j").applyInArrow(lambda rows: connecting(rows, size, percent), "a long, b long")
     labels = connected(links.union(written(more)))
 
