@@ -151,11 +151,9 @@ register("step_stubs_of", declared("function", "stubs_of", name="Brand#11"), "id
 register("step_export_target", seeded("exports", "export_target", form="default_named"), "id name", "SELECT DISTINCT d.id, d.name FROM exports e JOIN declarations d ON d.id = target_id WHERE form = 'default_named'")
 
 
-def limited(s: SparkSession, d: str) -> DataFrame:
-    """A limit is part of this query: the first rows in the order of paths, and whether there were more."""
-    shown, more = language.run({"declarations": {"kind": "method", "name": "R"}, "steps": [{"op": "call_sites_from"}], "limit": 250}, Workspace(s, d))
-    return shown.select("id", "path").crossJoin(more)
-
-
-QUERIES["limit_probe"] = limited
-SQL["limit_probe"] = with_facts("SELECT id, path, count(*) OVER () > 250 AS truncated FROM lines WHERE flag = 'R' ORDER BY path, n, id LIMIT 250")
+FIRST = {"declarations": {"kind": "method", "name": "R"}, "steps": [{"op": "call_sites_from"}], "limit": 250}
+# A limit is part of these two: the first rows in the order of paths, and whether there were more.
+QUERIES["limit_probe"] = lambda s, d: language.run(FIRST, Workspace(s, d))[0].select("id", "path")
+SQL["limit_probe"] = with_facts("SELECT id, path FROM lines WHERE flag = 'R' ORDER BY path, n, id LIMIT 250")
+QUERIES["limit_truncated"] = lambda s, d: language.run(FIRST, Workspace(s, d))[1]
+SQL["limit_truncated"] = with_facts("SELECT count(*) > 250 AS truncated FROM lines WHERE flag = 'R'")
