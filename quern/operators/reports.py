@@ -53,10 +53,14 @@ def clones(documents: DataFrame, k: int, least_shared: int, least_score: int) ->
     Texts with one set of shingles are one class. Of a class's shingles, rarest first, only so many are indexed that a pair with the
     score must meet on one of them; what meets is worked out exactly on the whole sets. So a line that very many texts
     share makes no pairs by itself."""
+    from .graph import cut_lineage
+
     bound = (least_score - 0.5) / 100
     sets = documents.select("id", scalars.shingle_hashes(F.col("text"), k).alias("s")).where("size(s) > 0")
     keyed = sets.select("id", "s", F.size("s").alias("n"), F.xxhash64(F.array_sort("s")).alias("g1"), F.hash(F.array_sort("s")).alias("g2"))
-    classes = keyed.groupBy("n", "g1", "g2").agg(F.min("id").alias("c"), F.first("s").alias("s"), F.count(F.lit(1)).alias("m"))
+    # Written once: the sets are looked at five times.
+    keyed = cut_lineage(keyed)
+    classes = keyed.groupBy("n", "g1", "g2").agg(F.min("id").alias("c"), F.first("s").alias("s"))
     named = classes.select("c", "n", "s")
     tokens = named.select("c", "n", F.explode("s").alias("h"))
     df = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
