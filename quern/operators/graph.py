@@ -79,9 +79,10 @@ def reachable(seeds: DataFrame, edges: DataFrame, blocked: DataFrame | None = No
 
 def dominated_out(rows: DataFrame) -> DataFrame:
     """Of the qualities (proven, complete) of a (node, fact), those that no other one of it is above."""
-    best = rows.groupBy("node", "fact").agg(F.max(F.col("proven") & F.col("complete")).alias("both"))
-    one = rows.join(best, ["node", "fact"])
-    return one.where((F.col("proven") & F.col("complete")) | (~F.col("both") & (F.col("proven") | F.col("complete"))) | (~F.col("both") & ~F.col("proven") & ~F.col("complete"))).drop("both")
+    both, either = F.col("proven") & F.col("complete"), F.col("proven") | F.col("complete")
+    best = rows.groupBy("node", "fact").agg(F.max(both).alias("_both"), F.max(either).alias("_either")).withColumnsRenamed({"node": "_n", "fact": "_f"})
+    one = rows.join(best, F.col("node").eqNullSafe(F.col("_n")) & F.col("fact").eqNullSafe(F.col("_f")))
+    return one.where(both | (~F.col("_both") & (either | ~F.col("_either")))).drop("_n", "_f", "_both", "_either")
 
 
 def tabulate(seeds: DataFrame, flows: DataFrame) -> DataFrame:

@@ -114,6 +114,15 @@ def test_graphs(spark):
     assert {(r.relation, r.certainty) for r in graph.flow_relations(points, edges, events).collect()} == {("reaching", "exact"), ("dominates", "exact")}
 
 
+def test_tabulation_keeps_what_nothing_is_above(spark):
+    # At 5 the row without either quality comes a step before the one with one; at 6 the two that are not comparable come after it.
+    flows = [(1, 5, False, False), (1, 2, True, False), (2, 5, True, True), (1, 6, False, False), (2, 6, True, True), (1, 3, False, True), (3, 6, True, True), (1, 7, False, False)]
+    flows = spark.createDataFrame([(a, "x", b, "x", p, c) for a, b, p, c in flows], "src long, fact_in string, dst long, fact_out string, proven boolean, complete boolean")
+    got = graph.tabulate(spark.createDataFrame([(1, "x"), (None, "x")], "node long, fact string"), flows).collect()
+    assert sorted((r.node or 0, r.proven, r.complete) for r in got) == [
+        (0, True, True), (1, True, True), (2, True, False), (3, False, True), (5, True, False), (6, False, True), (6, True, False), (7, False, False)]
+
+
 def test_reports(spark):
     scored = spark.createDataFrame([("a", "x", 0.9), ("a", "y", 0.8), ("b", "x", 0.85), ("b", "y", 0.3), ("c", "y", 0.2)], "l string, r string, score double")
     assert {(r.l, r.r) for r in reports.greedy_pairs(scored, 0.25).collect()} == {("a", "x"), ("b", "y")}
