@@ -11,11 +11,13 @@ The work is split so that no suffix is sorted twice and nothing is compared that
    transforms by interleave refinement: the order of the merged suffixes by h + 1 symbols comes from that by h symbols and one
    stable counting sort of the transforms' symbols. The places where neighbours first differ give the common
    prefixes; after 50 rounds the intervals without such a place are the repeated windows, each with its least doc_id.
-   Minimizers whose pieces are all equal need no sorting.
+   Minimizers whose pieces are all equal need no sorting, nor do pieces whose windows all have a hash that no piece of another
+   least doc_id has: they share a minimizer by chance, the more of them the larger the input.
 4. Shards learn the least doc_id of each window of their pieces and cut their documents.
 
 What is sent of a shard is deduplicated there, so a passage in a third of all documents reaches a bucket once from each shard.
-Shards and buckets have a number that follows the input's bytes, so a task's memory doesn't grow with it.
+Buckets have a number that follows the input's bytes, and so do shards from some GB on, so a task's memory doesn't grow with it. A
+shard sends each bucket a row; shards grow before their number does, so that rows stay few for their bytes, and are read in slices.
 
 Defined results: a null or empty text, or one below 50 bytes, loses nothing; a null doc_id counts as larger than every number,
 and null ones don't cut each other, nor do rows with one doc_id; rows give a row each; an empty table
@@ -32,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import U, docs_only, mix, range_hashes, text_of, tuned
+from .base import U, docs_only, mix, range_hashes, slices, text_of, tuned
 
 WINDOW, GRAM, MOST_WINDOWS = 50, 20, 64
-#: Bytes of text of a shard of documents and of a bucket's share; symbols merged at once; transforms in a merge.
-SHARD_BYTES, BUCKET_BYTES, MERGE_SYMBOLS, TRANSFORMS = 3 << 20, 4 << 20, 1 << 19, 4
+#: Bytes of text of a slice of a shard and of a bucket's share; symbols merged at once; transforms in a merge.
+SLICE_BYTES, BUCKET_BYTES, MERGE_SYMBOLS, TRANSFORMS = 3 << 20, 4 << 20, 1 << 19, 4
+#: Slices of a shard at most, and the number of shards up to which they have one slice each.
+MOST_SLICES, FEW_SHARDS = 8, 256
 LAST = (1 << 63) - 1
 
 
@@ -160,16 +164,68 @@ def least_docs(data: np.ndarray, length: np.ndarray, docs: np.ndarray) -> np.nda
     return out[offset + WINDOW <= length[string]]
 
 
+def places(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The n places from each start on."""
+    end = np.cumsum(n)
+    return np.repeat(start - end + n, n) + np.arange(end[-1] if len(end) else 0)
+
+
+def changeable(data: np.ndarray, start: np.ndarray, size: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether each piece (start, number of windows, least doc_id) has a window whose hash a piece with another doc_id has too.
+    Equal windows have equal hashes, so the windows of all others keep their piece's doc_id."""
+    at = places(start, size)
+    names = range_hashes(data, at, at + WINDOW)
+    order = np.argsort(names)
+    opens = np.flatnonzero(np.concatenate([[True], np.diff(names[order]) != 0])) if len(names) else np.zeros(0, np.int64)
+    piece = np.repeat(np.arange(len(size)), size)[order]
+    out = np.zeros(len(size), bool)
+    if len(opens):
+        doc = docs[piece]
+        differ = np.minimum.reduceat(doc, opens) < np.maximum.reduceat(doc, opens)
+        out[piece[np.repeat(differ, np.diff(np.append(opens, len(piece))))]] = True
+    return out
+
+
+def dealt(total: int) -> tuple[int, int]:
+    """The numbers of shards and buckets for so many bytes of text."""
+    shard = min(max(SLICE_BYTES, total // FEW_SHARDS), MOST_SLICES * SLICE_BYTES)
+    return -(-total // shard) + 1, -(-total // BUCKET_BYTES) + 1
+
+
 def numbers(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def sliced(docs: pa.Table) -> Iterator[pa.Table]:
+    for batch in slices(docs.combine_chunks().to_batches(), most=SLICE_BYTES):
+        yield pa.Table.from_batches([batch])
+
+
 def shard_pieces(docs: pa.Table):
     data, at = text_of(docs["text"])
     keys, start, size, row = pieces(data, at)
     return data, at, keys, start, size, numbers(docs["doc_id"])[row] if len(row) else np.zeros(0, np.int64), row
 
 
+def least_and_most(keys: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys with the least and the greatest value of each."""
+    if not len(keys):
+        return keys, least, most
+    order = np.argsort(keys)
+    keys = keys[order]
+    opens = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[opens], np.minimum.reduceat(least[order], opens), np.maximum.reduceat(most[order], opens)
+
+
+def first_of_each(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct names, the least doc_id of each and a place of it."""
+    order = np.argsort(names)
+    if not len(names):
+        return names, docs, order
+    opens = np.flatnonzero(np.concatenate([[True], np.diff(names[order]) != 0]))
+    return names[order][opens], np.minimum.reduceat(docs[order], opens), order[opens]
+
+
 def by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """The places of the keys of each bucket."""
     bucket = (keys % U(n)).astype(np.int64)
@@ -188,17 +244,15 @@ def substring_report(docs: DataFrame) -> DataFrame:
     spark = tuned(docs.sparkSession)
     rows = docs_only(docs, "doc_id", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    n_shards, n_buckets = -(-total // SHARD_BYTES) + 1, -(-total // BUCKET_BYTES) + 1
+    n_shards, n_buckets = dealt(total)
     shards = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)).cast("int"))
 
     sent = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary()), ("many", pa.binary())])
 
     def report(key: tuple, table: pa.Table) -> pa.Table:
-        _, _, keys, _, _, doc, _ = shard_pieces(table)
-        order = np.argsort(keys)
-        opens = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0])) if len(keys) else np.zeros(0, np.int64)
-        unique = keys[order][opens]
-        many = np.minimum.reduceat(doc[order], opens) < np.maximum.reduceat(doc[order], opens) if len(keys) else np.zeros(0, bool)
+        found = [least_and_most(keys, doc, doc) for _, _, keys, _, _, doc, _ in map(shard_pieces, sliced(table))]
+        unique, least, most = found[0] if len(found) == 1 else least_and_most(*(np.concatenate(x) for x in zip(*found)))
+        many = least < most
         return packed([(b, key[0].as_py(), unique[p].tobytes(), many[p].tobytes()) for b, p in by_bucket(unique, n_buckets)], sent)
 
     told = pa.schema([("shard", pa.int32()), ("keys", pa.binary())])
@@ -221,15 +275,18 @@ def substring_report(docs: DataFrame) -> DataFrame:
     def ask(table: pa.Table, keys_told: pa.Table) -> pa.Table:
         if not table.num_rows or not keys_told.num_rows:
             return asked.empty_table()
-        data, _, keys, start, size, doc, _ = shard_pieces(table)
         known = np.sort(np.frombuffer(b"".join(keys_told["keys"].to_pylist()), "<u8"))
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        keys, start, size, doc = (x[known[at] == keys] for x in (keys, start, size, doc))
-        names = piece_hashes(data, keys, start, size)
-        order = np.argsort(names)
-        opens = np.flatnonzero(np.concatenate([[True], np.diff(names[order]) != 0]))
-        least, one = np.minimum.reduceat(doc[order], opens), order[opens]
-        keys, start, size = keys[one], start[one], size[one]
+        parts = []
+        for data, _, keys, start, size, doc, _ in map(shard_pieces, sliced(table)):
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            keys, start, size, doc = (x[known[at] == keys] for x in (keys, start, size, doc))
+            names, least, one = first_of_each(piece_hashes(data, keys, start, size), doc)
+            keys, start, size = keys[one], start[one], size[one]
+            parts.append((names, least, keys, size, joined(data, start, size + WINDOW - 1)))
+        names, least, keys, size, data = (np.concatenate(x) for x in zip(*parts))
+        _, least, one = first_of_each(names, least)
+        start = (np.cumsum(size + WINDOW - 1) - (size + WINDOW - 1))[one]
+        keys, size = keys[one], size[one]
         shard = table["shard"][0].as_py()
         return packed([(b, shard, keys[p].tobytes(), least[p].tobytes(), size[p].astype(np.uint8).tobytes(), pa.compress(joined(data, start[p], size[p] + WINDOW - 1).tobytes(), codec="zstd", asbytes=True)) for b, p in by_bucket(keys, n_buckets)], asked)
 
@@ -258,6 +315,8 @@ def substring_report(docs: DataFrame) -> DataFrame:
         group = np.repeat(np.arange(len(opens)), members)
         hard = order[members[group] > 1]
         hard_group = group[members[group] > 1]
+        repeats = changeable(data, start[one[hard]], size[one[hard]], least[hard])
+        hard, hard_group = hard[repeats], hard_group[repeats]
         weight = np.cumsum(length[one[hard]] + 1)
         edges = np.flatnonzero(np.diff(hard_group)) + 1  # batches end where a minimizer does
         a = 0
@@ -298,16 +357,23 @@ def substring_report(docs: DataFrame) -> DataFrame:
     def cut(table: pa.Table, got: pa.Table) -> pa.Table:
         if not table.num_rows:
             return result.empty_table()
-        data, at, keys, start, size, doc, row = shard_pieces(table)
-        edge = np.zeros(len(data) + WINDOW + 1, np.int32)
-        if got.num_rows and len(keys):
+        if got.num_rows:
             names, runs, lengths, docs = (np.frombuffer(b"".join(got[c].to_pylist()), t) for c, t in (("names", "<u8"), ("runs", "u1"), ("lengths", "u1"), ("docs", "<i8")))
             runs = runs.astype(np.int64)
-            run_at = np.cumsum(runs) - runs
             order = np.argsort(names)
+            known = names[order], order, runs, np.cumsum(runs) - runs, lengths, docs
+        else:
+            known = None
+        return pa.concat_tables([cut_slice(part, known) for part in sliced(table)])
+
+    def cut_slice(table: pa.Table, known: tuple | None) -> pa.Table:
+        data, at, keys, start, size, doc, row = shard_pieces(table)
+        edge = np.zeros(len(data) + WINDOW + 1, np.int32)
+        if known and len(keys):
+            names, order, runs, run_at, lengths, docs = known
             mine = piece_hashes(data, keys, start, size)
-            i = np.minimum(np.searchsorted(names[order], mine), len(names) - 1)
-            hit = names[order][i] == mine
+            i = np.minimum(np.searchsorted(names, mine), len(names) - 1)
+            hit = names[i] == mine
             i, start, doc = order[i[hit]], start[hit], doc[hit]
             n = runs[i]
             take = np.repeat(run_at[i] - np.cumsum(n) + n, n) + np.arange(n.sum())

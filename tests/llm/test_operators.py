@@ -75,6 +75,46 @@ def test_suffix_dedup(spark, rows):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
+def test_pieces_that_meet_by_chance_are_not_merged():
+    rng = np.random.default_rng(2)
+    core = b"the same twenty byte"
+    strings = [rng.bytes(30) + core + rng.bytes(30) for _ in range(500)]
+    for i, j, k in ((3, 40, 5), (7, 80, 5), (9, 90, 30)):  # 50 bytes in common, and 49 or less
+        strings[j] = rng.bytes(30 - k) + strings[i][30 - k : 80 - k] + rng.bytes(k)
+    strings[91] = rng.bytes(16) + strings[10][16:65] + rng.bytes(15)
+    strings[92] = strings[11]
+    docs = np.arange(500)
+    docs[92] = 11
+    length = np.array([len(x) for x in strings])
+    data, start = np.frombuffer(b"".join(strings), np.uint8), np.cumsum(length) - length
+    some = suffix_dedup.changeable(data, start, length - 49, docs)
+    assert np.flatnonzero(some).tolist() == [3, 7, 9, 40, 80, 90]
+    every = np.split(suffix_dedup.least_docs(data, length, docs), np.cumsum(length - 49)[:-1])
+    assert all((x == d).all() for x, d, s in zip(every, docs, some) if not s)
+    few = suffix_dedup.least_docs(np.concatenate([np.frombuffer(strings[i], np.uint8) for i in np.flatnonzero(some)]), length[some], docs[some])
+    assert (few == np.concatenate([every[i] for i in np.flatnonzero(some)])).all() and not suffix_dedup.changeable(data[:0], start[:0], length[:0], docs[:0]).any()
+
+
+def test_rows_between_shards_and_buckets():
+    shards, buckets = suffix_dedup.dealt(10_000_000_000)  # the text of a table of 6 GB; 7.6 million rows with shards of 3 MB
+    assert shards * buckets < 1_100_000 and 10_000_000_000 / shards < 26e6
+    assert suffix_dedup.dealt(0) == (1, 1) and suffix_dedup.dealt(100 << 20)[0] == 35
+
+
+def test_suffix_dedup_of_shards_of_several_slices(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "FEW_SHARDS", 1)  # all of it in two shards, three slices or so in each
+    rng = random.Random(8)
+    passages = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=200)) for _ in range(80)]
+    rows = []
+    for i in range(400):
+        text, edge = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=40_000)), str(i // 80)
+        rows.append((i, text[:20_000] + edge + passages[i % 80] + edge + text[20_000:]))
+    assert suffix_dedup.dealt(sum(len(t.encode()) for _, t in rows))[0] == 2
+    got = suffix_dedup.substring_report(table(spark, rows)).collect()
+    assert len(got) == 400 and {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in got} == {i: (40_202, 200 * (i >= 80), int(i >= 80)) for i in range(400)}
+    assert all(r.kept_sha256 == hashlib.sha256((t if r.doc_id < 80 else t.replace(passages[r.doc_id % 80], "")).encode()).hexdigest() for r, (_, t) in zip(sorted(got), rows))
+
+
 def test_transforms_merge_without_sorting_again():
     rng = np.random.default_rng(1)
     strings = [rng.integers(1, 3, n).astype(np.uint16) for n in rng.integers(1, 90, 40)]
