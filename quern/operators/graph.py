@@ -6,7 +6,7 @@ import tempfile
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -34,22 +34,36 @@ def together(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def walked(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """The distinct edges (src, dst) that leave a seed or the end of another edge, written once: no round reads more than these."""
+    starts = seeds.select(F.col("id").alias("_s")).union(edges.select("dst")).distinct()
+    return cut_lineage(edges.select("src", "dst").join(dealt(starts), F.col("src") == F.col("_s"), "left_semi").distinct())
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """For the joins of a loop: both sides are dealt out by the key, so that no round sends a table to the driver."""
+    return df.hint("merge")
+
+
 def closure(seeds: DataFrame, edges: DataFrame, depth: int | None = None, emit_root: bool = False) -> DataFrame:
     """root, id, depth of everything reached from each seed over edges (src, dst), with the least number of steps.
 
     seeds has `id`. With emit_root, a seed that closes a cycle is returned once as reached from itself, though not
     expanded again (calls); without, it is never returned (hierarchies). Ends at depth or when nothing new is found.
-    Each round writes its new rows alone; what was seen is the union of the rounds.
+    Each round writes its new rows alone; what was seen is the union of the rounds. A closure of a few steps reads the
+    edges as they are, a longer one what `walked` leaves of them.
     """
-    edges = edges.select("src", "dst").distinct()
     start = cut_lineage(seeds.select(F.col("id").alias("root"), "id").distinct().withColumn("depth", F.lit(0)))
+    few = depth is not None and depth <= 3
+    edges = edges.select("src", "dst").distinct() if few else dealt(walked(start, edges))
     rounds, frontier, step = [start], start, 0
     while depth is None or step < depth:
         step += 1
         found = frontier.join(edges, frontier["id"] == edges["src"]).select("root", F.col("dst").alias("id")).distinct()
         old = rounds[1:] if emit_root else rounds
         if old:
-            found = found.join(together(old).select("root", "id"), ["root", "id"], "left_anti")
+            seen = together(old).select("root", "id")
+            found = found.join(seen if few else dealt(seen), ["root", "id"], "left_anti")
         new = cut_lineage(found.withColumn("depth", F.lit(step)))
         if new.isEmpty():
             break
@@ -80,9 +94,9 @@ def reachable(seeds: DataFrame, edges: DataFrame, blocked: DataFrame | None = No
 def dominated_out(rows: DataFrame) -> DataFrame:
     """Of the qualities (proven, complete) of a (node, fact), those that no other one of it is above."""
     both, either = F.col("proven") & F.col("complete"), F.col("proven") | F.col("complete")
-    best = rows.groupBy("node", "fact").agg(F.max(both).alias("_both"), F.max(either).alias("_either")).withColumnsRenamed({"node": "_n", "fact": "_f"})
-    one = rows.join(best, F.col("node").eqNullSafe(F.col("_n")) & F.col("fact").eqNullSafe(F.col("_f")))
-    return one.where(both | (~F.col("_both") & (either | ~F.col("_either")))).drop("_n", "_f", "_both", "_either")
+    by = Window.partitionBy("node", "fact")  # four qualities at most
+    best = rows.withColumn("_both", F.max(both).over(by)).withColumn("_either", F.max(either).over(by))
+    return best.where(both | (~F.col("_both") & (either | ~F.col("_either")))).drop("_both", "_either")
 
 
 def tabulate(seeds: DataFrame, flows: DataFrame) -> DataFrame:
@@ -90,19 +104,20 @@ def tabulate(seeds: DataFrame, flows: DataFrame) -> DataFrame:
 
     seeds: node, fact, entered proven and complete. flows: src, fact_in, dst, fact_out, proven, complete: a transfer along an edge, a
     call, a return or a summary alike. Qualities are conjoined along a path; a row that brings nothing above what its (node, fact) has is
-    not followed. The loop is semi-naive: each round follows and writes its new rows alone, with the row each came from."""
+    not followed. The loop is semi-naive: each round follows and writes its new rows alone, with the row each came from. The flows are
+    written once."""
     columns = ["node", "fact", "proven", "complete", "depth", "from_node", "from_fact"]
     start = seeds.select("node", "fact").distinct().select("node", "fact", F.lit(True).alias("proven"), F.lit(True).alias("complete"), F.lit(0).alias("depth"), F.lit(None).cast(seeds.schema["node"].dataType).alias("from_node"), F.lit(None).cast(seeds.schema["fact"].dataType).alias("from_fact"))
     frontier = cut_lineage(start)
     rounds = [frontier]
-    step = flows.select("src", "fact_in", "dst", "fact_out", F.col("proven").alias("_p"), F.col("complete").alias("_c"))
+    step = dealt(cut_lineage(flows.select("src", "fact_in", "dst", "fact_out", F.col("proven").alias("_p"), F.col("complete").alias("_c"))))
     while True:
         met = frontier.join(step, (F.col("node") == F.col("src")) & (F.col("fact") == F.col("fact_in")))
         found = met.select(F.col("dst").alias("n"), F.col("fact_out").alias("f"), (F.col("proven") & F.col("_p")).alias("p"), (F.col("complete") & F.col("_c")).alias("c"), F.col("node").alias("from_node"), F.col("fact").alias("from_fact"))
         found = found.groupBy(F.col("n").alias("node"), F.col("f").alias("fact"), F.col("p").alias("proven"), F.col("c").alias("complete")).agg(F.min(F.struct("from_node", "from_fact")).alias("by")).select("node", "fact", "proven", "complete", F.lit(len(rounds)).alias("depth"), "by.from_node", "by.from_fact")
         old = together(rounds).select(F.col("node").alias("_n"), F.col("fact").alias("_f"), F.col("proven").alias("_p"), F.col("complete").alias("_c"))
         above = (F.col("node") == F.col("_n")) & (F.col("fact") == F.col("_f")) & (F.col("_p") | ~F.col("proven")) & (F.col("_c") | ~F.col("complete"))
-        frontier = cut_lineage(dominated_out(found.join(old, above, "left_anti").select(*columns)).select(*columns))
+        frontier = cut_lineage(dominated_out(found.join(dealt(old), above, "left_anti").select(*columns)).select(*columns))
         if frontier.isEmpty():
             return dominated_out(together(rounds)).select(*columns)
         rounds.append(frontier)
@@ -111,7 +126,7 @@ def tabulate(seeds: DataFrame, flows: DataFrame) -> DataFrame:
 def witnesses(reached: DataFrame, ends: DataFrame) -> DataFrame:
     """node, fact, path of each end (node, fact): the nodes from a seed to it, by the rows that each came from, one round for each hop."""
     by = reached.groupBy("node", "fact").agg(F.min(F.struct("depth", "from_node", "from_fact")).alias("b")).select(F.col("node").alias("_n"), F.col("fact").alias("_f"), F.col("b.from_node").alias("_fn"), F.col("b.from_fact").alias("_ff"))
-    by = cut_lineage(by)
+    by = dealt(cut_lineage(by))
     now = ends.select("node", "fact", F.array("node").alias("path"), F.col("node").alias("at"), F.col("fact").alias("with"))
     done = []
     while True:
@@ -147,11 +162,11 @@ def rewrite_chase(starts: DataFrame, rules: DataFrame, bound: int) -> DataFrame:
 def shortest_paths(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """root, id, path: a shortest path, the least one in the order of its nodes."""
     frontier = cut_lineage(seeds.select(F.col("id").alias("root"), "id", F.array("id").alias("path")).distinct())
-    rounds = [frontier]
+    edges, rounds = dealt(walked(frontier, edges)), [frontier]
     for _ in range(depth):
         best = together(rounds)
         found = frontier.join(edges, frontier["id"] == edges["src"]).select("root", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        frontier = cut_lineage(found.join(best.select("root", "id"), ["root", "id"], "left_anti").groupBy("root", "id").agg(F.min("path").alias("path")))
+        frontier = cut_lineage(found.join(dealt(best.select("root", "id")), ["root", "id"], "left_anti").groupBy("root", "id").agg(F.min("path").alias("path")))
         if frontier.isEmpty():
             break
         rounds.append(frontier)

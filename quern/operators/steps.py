@@ -117,9 +117,9 @@ def closing(table: str, src: str, dst: str, target: str, emit_root: bool, one: i
         e = filtered(facts[table], given, {"proof": None})
         reached = graph.closure(rows.select("id"), e.select(F.col(src).alias("src"), F.col(dst).alias("dst")), None if given.get("transitive") else given.get("depth", one), emit_root)
         first = rows.groupBy("id").agg(F.min("ord").alias("ord"))
-        ends = reached.join(first.withColumnRenamed("id", "root"), "root").groupBy(F.col("id").alias("_end")).agg(F.min(F.struct("ord", "depth")).alias("_o"))
+        ends = reached.join(graph.dealt(first.withColumnRenamed("id", "root")), "root").groupBy(F.col("id").alias("_end")).agg(F.min(F.struct("ord", "depth")).alias("_o"))
         t = facts[target]
-        return ends.join(t, ends["_end"] == t["id"]).select(*t.columns, F.concat("_o.ord", F.array(F.col("_o.depth").cast("long"))).alias("ord"))
+        return graph.dealt(ends).join(t, ends["_end"] == t["id"]).select(*t.columns, F.concat("_o.ord", F.array(F.col("_o.depth").cast("long"))).alias("ord"))
 
     return apply
 

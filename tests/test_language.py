@@ -224,3 +224,52 @@ def test_control_flow_of_branches_and_loops():
     assert graph.control_dependence([5], edges) == {(2, 1), (3, 1), (1, 4), (4, 4)}
     assert graph.loop_regions(0, edges) == {1: {1, 2, 3, 4}} and graph.depth_first(0, edges) == [0, 1, 2, 4, 5, 3]
     assert graph.postdominators([], []) == {} and graph.loop_regions(0, []) == {}
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """The plans of what loops write, as they are before they run."""
+    seen, write = [], graph.cut_lineage
+
+    def spy(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(graph, "cut_lineage", spy)
+    return seen
+
+
+def counted_rows(spark, rows, schema):
+    """The rows, and how often one of them was read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(row):
+        read.add(1)
+        return row
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(count), schema), read
+
+
+def test_closure_reads_its_edges_once_and_sends_none_to_the_driver(spark, written):
+    chain = [(i, i + 1) for i in range(8)] + [(100 + i, 0) for i in range(50)]
+    edges, read = counted_rows(spark, chain, "src long, dst long")
+    got = {(r.root, r.id, r.depth) for r in graph.closure(spark.createDataFrame([(0,), (5,)], "id long"), edges).collect()}
+    assert got == {(0, i, i) for i in range(1, 9)} | {(5, i, i - 5) for i in range(6, 9)}
+    assert read.value <= 2 * len(chain) and not any("Broadcast" in p for p in written[2:])
+
+
+def test_shortest_paths_read_their_edges_once(spark, written):
+    chain = [(i, i + 1) for i in range(6)] + [(0, 2)]
+    edges, read = counted_rows(spark, chain, "src long, dst long")
+    got = {r.id: r.path for r in graph.shortest_paths(spark.createDataFrame([(0,)], "id long"), edges, 9).collect()}
+    assert got == {0: [0]} | {1: [0, 1]} | {i: [0, *range(2, i + 1)] for i in range(2, 7)}
+    assert read.value <= 2 * len(chain) and not any("Broadcast" in p for p in written[2:])
+
+
+def test_tabulation_reads_its_flows_once_and_sends_none_to_the_driver(spark, written):
+    rows = [(i, "x", i + 1, "x", i != 3, True) for i in range(6)]
+    flows, read = counted_rows(spark, rows, "src long, fact_in string, dst long, fact_out string, proven boolean, complete boolean")
+    reached = graph.tabulate(spark.createDataFrame([(0, "x"), (None, "x")], "node long, fact string"), flows)
+    assert {(r.node, r.proven, r.complete) for r in reached.collect()} == {(None, True, True)} | {(i, i < 4, True) for i in range(7)}
+    assert read.value == len(rows) and not any("Broadcast" in p for p in written)
+    assert {len(r.path) for r in graph.witnesses(reached, reached.where("node = 6").select("node", "fact")).collect()} == {7}
