@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import scalars
-from quern.operators import graph, reports, steps
+from quern.operators import graph, joins, reports, steps
 from quern.plans import query as language
+from quern.plans.registry import Flow, Protocol
 from quern.schema import DOMAINS, PlanError, kinds_below
 from quern.sources.facts import html_nodes, python_facts, read_facts, sarif_results, write_facts, write_sarif
 
@@ -273,3 +274,49 @@ def test_tabulation_reads_its_flows_once_and_sends_none_to_the_driver(spark, wri
     assert {(r.node, r.proven, r.complete) for r in reached.collect()} == {(None, True, True)} | {(i, i < 4, True) for i in range(7)}
     assert read.value == len(rows) and not any("Broadcast" in p for p in written)
     assert {len(r.path) for r in graph.witnesses(reached, reached.where("node = 6").select("node", "fact")).collect()} == {7}
+
+
+def procedures(spark):
+    """Two procedures of one shape under other numbers, one of them with a kill on the way; the events, and how often one was read."""
+    points = spark.createDataFrame([(10 * p + k, p, b) for p in (1, 2) for k, b in enumerate(("entry", "body", "normal_exit"))], "id long, procedure_id long, boundary string")
+    edges = spark.createDataFrame([(10 * p + k, 10 * p + k + 1) for p in (1, 2) for k in (0, 1)], "src long, dst long")
+    rows = [(100 * p + k, p, f"f{p}", 10 * p + at, event, "q") for p in (1, 2) for k, at, event in ((0, 0, "establish"), (1, 2, "read"), (2, 1, "kill")) if (p, k) != (1, 2)]
+    events, read = counted_rows(spark, rows, "id long, procedure_id long, path string, point long, event string, subject string")
+    given = spark.createDataFrame([(p, f"f{p}", [p]) for p in (1, 2, 3)], "id long, path string, ord array<long>")
+    return given, {"points": points, "control_edges": edges, "state_events": events}, read, len(rows)
+
+
+def test_flow_relations_read_the_events_once(spark):
+    given, facts, read, n = procedures(spark)
+    got = steps.run_step("flow_relations_of", "procedure", given, facts)[1].collect()
+    assert {(r.id, r.path, r.procedure_id, r.certainty) for r in got} == {("reaching#100#101", "f1", 1, "exact"), ("dominates#100#101", "f1", 1, "exact"), ("dominates#200#201", "f2", 2, "exact")}
+    assert read.value == n
+    reads = facts["state_events"].where("event = 'read'").withColumn("ord", F.array(F.lit(0).cast("long")))
+    got = steps.run_step("flow_relations_of", "state_event", reads, facts, {"relation": "reaching"})[1].collect()
+    assert [(r.source_id, r.target_id) for r in got] == [(100, 101)]
+
+
+def test_registered_flows_read_the_events_once(spark, monkeypatch):
+    monkeypatch.setitem(steps.REGISTRY.flows, "here", Flow("event = 'establish'", "event = 'read'", "event = 'kill'"))
+    given, facts, read, n = procedures(spark)
+    (r,) = steps.run_step("value_flow", "procedure", given, facts, {"plan": "here"})[1].collect()
+    assert (r.id, r.path, r.procedure_id, r.distance, [tuple(w) for w in r.witness]) == ("100#101", "f1", 1, 2, [(10, 100), (12, 101)])
+    assert read.value == n
+
+
+def test_typestate_reads_the_events_once(spark, monkeypatch):
+    monkeypatch.setitem(steps.REGISTRY.protocols, "here", Protocol({("new", "establish"): "live", ("live", "read"): "used"}, "new", ("used",), ()))
+    given, facts, read, n = procedures(spark)
+    facts["state_events"] = facts["state_events"].where("id <> 101")
+    (r,) = steps.run_step("typestate", "procedure", given, facts, {"protocol": "here"})[1].collect()
+    assert (r.procedure_id, r.state, r.ended_badly, [tuple(w) for w in r.witness]) == (1, "live", True, [(10, 100, "establish")]) and read.value == n
+
+
+def test_narrowest_spans_are_sent_once(spark):
+    rows = spark.createDataFrame([(1, "a", 10, 20, [1])], "id long, path string, start_byte long, end_byte long, ord array<long>")
+    table = spark.createDataFrame([(5, "a", 0, 90, "x"), (6, "a", 9, 25, "y"), (7, "a", 8, 24, "z")], "id long, path string, start_byte int, end_byte int, name string")
+    chosen = steps.within("scopes", narrow=True)(rows, {"scopes": table}, {})
+    assert [tuple(r) for r in chosen.collect()] == [(6, "a", 9, 25, "y", [1])] and chosen.dtypes == [*table.dtypes, ("ord", "array<bigint>")]
+    assert steps.within("scopes", narrow=True, unique=True)(rows, {"scopes": table}, {}).count() == 0
+    plan = joins.first_seen(chosen, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" not in plan
