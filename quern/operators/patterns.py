@@ -59,29 +59,36 @@ def own(pattern: dict) -> Column:
     return reduce(Column.__and__, tests)
 
 
+def spans(pattern: dict) -> bool:
+    """Whether a target without a node can match."""
+    return set(pattern) <= {"name", "name_regex", "text", "capture", "not_kind"}
+
+
+def bare(pattern: dict, roles: DataFrame) -> DataFrame:
+    """The role edges without a node whose name matches."""
+    return roles.where("target_node is null").withColumn("kind", F.lit(None).cast("string")).withColumn("text", F.col("name")).where(own(pattern)).select(*roles.columns)
+
+
 def role_hits(pattern: dict, nodes: DataFrame, roles: DataFrame) -> DataFrame:
     """The role edges whose target matches; a target without a node satisfies only name, text and capture."""
-    spans = set(pattern) <= {"name", "name_regex", "text", "capture", "not_kind"}
     hit = matching(pattern, nodes, roles).select(F.col("path").alias("_p"), F.col("node_id").alias("_t"))
     real = roles.join(hit, (F.col("path") == F.col("_p")) & (F.col("target_node") == F.col("_t")), "left_semi")
-    if not spans:
-        return real
-    bare = roles.where("target_node is null").withColumn("kind", F.lit(None).cast("string")).withColumn("text", F.col("name")).where(own(pattern)).select(*roles.columns)
-    return real.union(bare)
+    return real.union(bare(pattern, roles)) if spans(pattern) else real
 
 
 def matching(pattern: dict, nodes: DataFrame, roles: DataFrame) -> DataFrame:
     """The nodes that match; nodes around the result are looked up in all of `nodes`."""
     out = nodes.where(own(pattern))
     at = ["path", "node_id"]
+    # What is captured is looked up below, and where nothing is captured, nothing matches there.
     for role in SINGLE_ROLES:
-        if role in pattern:
+        if role in pattern and "capture" not in pattern[role]:
             out = out.join(role_hits(pattern[role], nodes, roles.where(F.col("role") == role)), at, "left_semi")
     if "arity" in pattern:
         n = roles.where("role = 'args'").groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
         low, high = pattern["arity"].get("min", 0), pattern["arity"].get("max", 1 << 30)
         out = out.join(n, at, "left").where(F.coalesce("_n", F.lit(0)).between(low, high)).drop("_n")
-    if "args" in pattern:
+    if "args" in pattern and not (len(pattern["args"]) == 1 and "capture" in pattern["args"][0]):
         # Each pattern takes the first argument after the one before it: a greedy ordered subsequence.
         args, wanted = roles.where("role = 'args'"), pattern["args"]
         hits = reduce(DataFrame.union, [role_hits(p, nodes, args).select(*at, "ordinal", F.lit(i).alias("i")) for i, p in enumerate(wanted)])
@@ -90,8 +97,12 @@ def matching(pattern: dict, nodes: DataFrame, roles: DataFrame) -> DataFrame:
         done = F.aggregate("_h", F.struct(F.lit(0).alias("i"), F.lit(-1).alias("o")), step)["i"]
         out = out.join(lists.where(done == len(wanted)), at, "left_semi")
     for word, p in pattern.get("kwargs", {}).items():
+        if "capture" in p:
+            continue
         out = out.join(role_hits(p, nodes, roles.where((F.col("role") == "kwargs") & (F.col("keyword") == word))), at, "left_semi")
     for p in pattern.get("decorators", []):
+        if "capture" in p:
+            continue
         out = out.join(role_hits(p, nodes, roles.where("role = 'decorators'")), at, "left_semi")
     inner = lambda p: matching(p, nodes, roles).select(F.col("path").alias("_p"), F.col("node_id").alias("_i"), F.col("subtree_end").alias("_e"))
     below = (F.col("path") == F.col("_p")) & (F.col("_i") > F.col("node_id")) & (F.col("_i") < F.col("subtree_end"))
@@ -138,10 +149,12 @@ def captures(pattern: dict) -> dict[str, list[tuple[dict, Column]]]:
 
 def captured(pattern: dict, nodes: DataFrame, roles: DataFrame) -> DataFrame:
     """path, node_id and the values (_v) that the role edges' targets give to a capture."""
-    hits = role_hits(pattern, nodes, roles)
-    of = nodes.select(F.col("path").alias("_p"), F.col("node_id").alias("_t"), F.coalesce("text", "name").alias("_w"))
-    both = hits.join(of, (F.col("path") == F.col("_p")) & (F.col("target_node") == F.col("_t")), "left")
-    return both.select("path", "node_id", F.coalesce("_w", "name").alias("_v")).distinct()
+    of = matching(pattern, nodes, roles).select(F.col("path").alias("_p"), F.col("node_id").alias("_t"), F.coalesce("text", "name").alias("_w"))
+    real = roles.join(of, (F.col("path") == F.col("_p")) & (F.col("target_node") == F.col("_t")))
+    seen = real.select("path", "node_id", F.coalesce("_w", "name").alias("_v"))
+    if spans(pattern):
+        seen = seen.union(bare(pattern, roles).select("path", "node_id", F.col("name").alias("_v")))
+    return seen.distinct()
 
 
 def nearest_ancestor(nodes: DataFrame, pattern: dict, around: DataFrame, roles: DataFrame) -> DataFrame:
