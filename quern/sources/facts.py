@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 NODES = "path string, language string, id string, node_id int, kind string, name string, text string, start_byte long, end_byte long, start_line int, end_line int, parent int, subtree_end int"
 ROLES = "path string, node_id int, role string, ordinal int, keyword string, target_node int, name string"
+#: Rows that a worker holds before it hands them on, and those of one page.
+ROWS = 4096
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -55,18 +57,23 @@ class Tree(HTMLParser):
             self.end(self.place() + len(tag) + 3)
 
 
-def html_nodes(pages: DataFrame) -> DataFrame:
-    """path (the url), language html, pre-order node numbers, tag as kind, id attribute as name. A null page has none."""
+def page_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The nodes of pages (path, html), some ROWS at a time, so that a batch of pages is not kept as rows all at once."""
+    frame = lambda rows: pd.DataFrame(rows, columns=[c.split()[0] for c in NODES.split(", ")]).astype({"parent": "Int32"})
+    for pdf in batches:
+        out = []
+        for path, html in zip(pdf.path, pdf.html):
+            for i, (tag, attrs, a, z, line, parent, end) in enumerate(Tree(html or "").rows):
+                out.append((path, "html", f"{path}#{i}", i, tag, attrs.get("id") or attrs.get("class"), attrs.get("href") or attrs.get("src"), a, z, line, line + (html or "")[a:z].count("\n"), parent, end))
+            if len(out) >= ROWS:
+                yield frame(out)
+                out = []
+        yield frame(out)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for path, html in zip(pdf.path, pdf.html):
-                for i, (tag, attrs, a, z, line, parent, end) in enumerate(Tree(html or "").rows):
-                    out.append((path, "html", f"{path}#{i}", i, tag, attrs.get("id") or attrs.get("class"), attrs.get("href") or attrs.get("src"), a, z, line, line + (html or "")[a:z].count("\n"), parent, end))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in NODES.split(", ")]).astype({"parent": "Int32"})
 
-    return pages.select(F.concat_ws("#", "url", "page_id").alias("path"), "html").mapInPandas(parse, NODES)
+def html_nodes(pages: DataFrame) -> DataFrame:
+    """path (the url), language html, pre-order node numbers, tag as kind, id attribute as name. A null page has none."""
+    return pages.select(F.concat_ws("#", "url", "page_id").alias("path"), "html").mapInPandas(page_rows, NODES)
 
 
 KIND = {ast.FunctionDef: "function", ast.AsyncFunctionDef: "function", ast.ClassDef: "class", ast.Lambda: "lambda", ast.Call: "call", ast.Import: "import", ast.ImportFrom: "import", ast.For: "for_loop", ast.While: "while_loop", ast.If: "if", ast.Assign: "assignment", ast.Attribute: "member_access", ast.Name: "identifier", ast.Return: "return"}

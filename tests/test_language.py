@@ -1,14 +1,15 @@
 """The query language over a small project, its refusals, and the graph and report operators on small inputs."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import scalars
-from quern.operators import graph, joins, reports, steps
+from quern.operators import graph, joins, patterns, reports, steps
 from quern.plans import query as language
 from quern.plans.registry import Flow, Protocol
 from quern.schema import DOMAINS, PlanError, kinds_below
-from quern.sources.facts import html_nodes, python_facts, read_facts, sarif_results, write_facts, write_sarif
+from quern.sources.facts import html_nodes, page_rows, python_facts, read_facts, sarif_results, write_facts, write_sarif
 
 FILES = {
     "src/app.py": "from src.service import audit, Base\n\nclass App(Base):\n    def handle(self, value):\n        return audit(value, level=2)\n\ndef main():\n    main()\n    App().handle(1)\n",
@@ -320,3 +321,18 @@ def test_narrowest_spans_are_sent_once(spark):
     assert steps.within("scopes", narrow=True, unique=True)(rows, {"scopes": table}, {}).count() == 0
     plan = joins.first_seen(chosen, ["id"])._jdf.queryExecution().optimizedPlan().toString()
     assert "min_by" not in plan
+
+
+def test_captures_look_at_their_nodes_once(spark):
+    nodes = spark.createDataFrame([("a", 0, "call", "f", "f(x, x)", 4), ("a", 1, "identifier", "x", "x", 2), ("a", 2, "identifier", "x", "x", 3), ("a", 3, "identifier", "y", "y", 4)], "path string, node_id long, kind string, name string, text string, subtree_end long")
+    roles = spark.createDataFrame([("a", 0, "receiver", 0, None, 1, "x"), ("a", 0, "args", 0, None, 2, "x"), ("a", 0, "args", 1, None, 3, "y")], "path string, node_id long, role string, ordinal int, keyword string, target_node long, name string")
+    found = patterns.matching({"kind": "call", "receiver": {"capture": "v"}, "args": [{"capture": "v"}]}, nodes, roles)
+    assert [r.capture_v for r in found.collect()] == ["x"]
+    leaves = found._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert leaves.size() == 7  # the calls; for each capture its role edges with a node, their nodes, and those without one
+
+
+def test_pages_are_handed_on_in_parts():
+    pages = pd.DataFrame([(f"u{i}", "<p><b>x</b></p>") for i in range(5000)], columns=["path", "html"])
+    parts = list(page_rows(iter([pages])))
+    assert [len(p) for p in parts] == [4096, 4096, 1808] and list(pd.concat(parts)["parent"].head(2).isna()) == [True, False]
