@@ -1,5 +1,7 @@
 """The query language over a small project, its refusals, and the graph and report operators on small inputs."""
 
+import math
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -336,3 +338,30 @@ def test_pages_are_handed_on_in_parts():
     pages = pd.DataFrame([(f"u{i}", "<p><b>x</b></p>") for i in range(5000)], columns=["path", "html"])
     parts = list(page_rows(iter([pages])))
     assert [len(p) for p in parts] == [4096, 4096, 1808] and list(pd.concat(parts)["parent"].head(2).isna()) == [True, False]
+
+
+def test_similar_bags_make_no_pairs_on_the_way(spark, monkeypatch):
+    monkeypatch.setattr(reports, "BLOCK", 3)
+    bag = lambda k, n: {f"t{(k * 7 + i * 5) % 11}": i % 3 + 1 for i in range(n)}
+    bags = {side: {f"{side}{k}": bag(k + at, 2 + k % 4) for k in range(8)} for at, side in enumerate("ab")}
+    frames = [spark.createDataFrame([(i, x, n) for i, b in bags[side].items() for x, n in b.items()], "id string, token string, n long") for side in "ab"]
+    every = [b for side in "ab" for b in bags[side].values()]
+    w = {x: math.log((len(every) + 1) / (sum(x in b for b in every) + 0.5)) for b in every for x in b}
+    low = lambda a, b: sum(w[x] * min(a[x], b[x]) for x in a.keys() & b.keys())
+    want = {(i, j): low(a, b) / (low(a, a) + low(b, b) - low(a, b)) for i, a in bags["a"].items() for j, b in bags["b"].items() if low(a, b)}
+    found = reports.bag_similarity(*frames)
+    assert {(r.l, r.r): round(r.score, 9) for r in found.collect()} == {k: round(v, 9) for k, v in want.items()}
+    some = reports.bag_similarity(*frames, least=0.3)
+    assert {(r.l, r.r) for r in some.collect()} == {k for k, v in want.items() if v >= 0.3}
+    assert "hashpartitioning(l" not in found._jdf.queryExecution().executedPlan().toString()
+    rare = reports.bag_similarity(*frames, most_df=6)
+    assert 0 < rare.count() < len(want)
+    # The same as taking pairs from the top one by one.
+    left, right, taken = set(), set(), set()
+    for v, i, j in sorted((-round(v, 12), i, j) for (i, j), v in want.items() if v >= 0.1):
+        if i not in left and j not in right:
+            taken.add((i, j))
+            left.add(i)
+            right.add(j)
+    scored = spark.createDataFrame([(i, j, round(v, 12)) for (i, j), v in want.items()], "l string, r string, score double")
+    assert {(r.l, r.r) for r in reports.greedy_pairs(scored, 0.1).collect()} == taken
